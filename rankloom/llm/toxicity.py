@@ -142,7 +142,7 @@ class Restorer:
             parts = [p for p in re.split(r"[^\w@$!|+€*#?(<£¡-]+", w) if p]
             out.update(p for p in parts if p.isalpha())
             for p in parts:
-                if not p.isalpha() and sum(c.isalpha() for c in p) >= 2 and not p.isalnum() or (p.isalnum() and not p.isalpha() and sum(c.isalpha() for c in p) * 2 >= len(p)):
+                if not p.isalpha() and (letters := sum(c.isalpha() for c in p)) >= 2 and 3 * letters >= len(p):
                     out.add(self.decode(p))
         if _TRIPLE.search(low):
             for w in [w for w in out if len(w) <= 48 and _TRIPLE.search(w)]:
