@@ -7,7 +7,9 @@ least ENOUGH candidates. Within a list, rotated vectors are read by blocks of co
 compares the partial distance, scaled up, with the distance of the k-th best so far: candidates beyond
 (1 + EPSILON / sqrt(d))^2 of it are abandoned. Survivors are scored in double precision on the original vectors.
 
-Large lists are parted into pieces of PIECE rows, each a task of its own. Recall against brute force is measured in the
+Lists are packed into shards of about SHARD rows; a shard scans its lists one after another, and the bound that a query
+has reached in one list serves in the next, so a shard gives k rows a query. Larger lists are parted into pieces, each a
+shard of its own. Recall against brute force is measured in the
 tests and stated in the README.
 
 Defined edge cases: vectors that are null, zero, hold null or non-finite components, or differ in length from the first
@@ -34,7 +36,7 @@ SAMPLE = 16384
 LIST_ROWS, MOST_LISTS = 1024, 4096
 #: Share of all lists that a query scans, within bounds, and the fewest candidates that they must hold.
 PROBE_SHARE, LEAST_PROBES, MOST_PROBES, ENOUGH = 0.75, 4, 256, 200
-PIECE = 8192
+SHARD = 16384
 COLUMNS = 16
 EPSILON = 2.1
 SEED = 11
@@ -92,38 +94,35 @@ def fit(rows: DataFrame, seed: int = SEED) -> Index | None:
     return own
 
 
-def scan(queries: np.ndarray, points: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """(queries, points) of bool: what the adaptive scan keeps, ties with the k-th best included.
+def scan(queries: np.ndarray, points: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray) -> np.ndarray:
+    """(queries, points) of squared distances, infinite where the adaptive scan abandoned the pair.
 
-    ``own`` marks pairs that may be kept at all. The bound comes from full distances to the first rows; after each
-    block of columns, pairs that fail the test are abandoned, and columns of points that no query wants are left out.
+    ``own`` marks pairs that may be kept at all, ``reached`` holds each query's k-th distance so far. The first rows are
+    measured in full for a first bound; after each block of columns, pairs that fail the test are abandoned, and points
+    that no query wants are left out.
     """
     size = points.shape[1]
     head = min(len(points), max(4 * k, 256))
-    full = np.where(own[:, :head], _square(queries, points[:head]), np.inf)
-    bound = np.partition(full, k - 1, axis=1)[:, k - 1] if head >= k else np.full(len(queries), np.inf)
+    bound = reached
+    if head >= k:
+        full = np.where(own[:, :head], _square(queries, points[:head]), np.inf)
+        bound = np.minimum(bound, np.partition(full, k - 1, axis=1)[:, k - 1])
     bound = bound * (1 + 1e-9) + 1e-9
-    alive, part, done = own.copy(), np.zeros(own.shape), 0
+    alive, part = own.copy(), np.zeros(own.shape)
     for at in range(0, size, COLUMNS):
-        upto = min(size, at + COLUMNS)
+        done = min(size, at + COLUMNS)
         wanted = np.flatnonzero(alive.any(axis=0))
         if not len(wanted):
-            return alive
-        every = len(wanted) == len(points)
-        more = _square(queries[:, at:upto], points[:, at:upto] if every else points[wanted, at:upto])
-        done = upto
+            break
         limit = bound if done == size else bound * (done / size) * (1 + EPSILON / np.sqrt(done)) ** 2
-        if every:
-            part += more
+        if len(wanted) == len(points):
+            part += _square(queries[:, at:done], points[:, at:done])
             alive &= part <= limit[:, None]
         else:
-            part[:, wanted] += more
+            part[:, wanted] += _square(queries[:, at:done], points[wanted, at:done])
             alive[:, wanted] &= part[:, wanted] <= limit[:, None]
     part[~alive] = np.inf
-    if len(points) > k:
-        last = np.partition(part, k - 1, axis=1)[:, k - 1]
-        alive &= part <= (last * (1 + 1e-9) + 1e-9)[:, None]
-    return alive
+    return part
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,51 +147,70 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, index: Index | None
     counts = np.zeros(len(own.centres), np.int64)
     for r in placed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         counts[r["list"]] = r["count"]
-    pieces = -(-counts // PIECE)
+    # a list that fits is in one shard with its neighbours, a larger one has shards of its own
+    pieces = np.maximum(1, -(-counts // SHARD))
+    base, at, held = np.zeros(len(counts), np.int64), 0, 0
+    for c, n in enumerate(counts):
+        if held and held + n > SHARD:
+            at, held = at + 1, 0
+        base[c] = at
+        held += n
+        if n > SHARD:
+            at, held = at + pieces[c], 0
     probes = int(min(len(counts), max(LEAST_PROBES, min(MOST_PROBES, round(PROBE_SHARE * len(counts))))))
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = pickle.loads(sent.value)
         order = np.argsort(index.distances(index.rotate(matrix(batch.column(1)), True)), axis=1, kind="stable")
-        rows, lists, parts = [], [], []
+        rows, shards, lists = [], [], []
         for i, near in enumerate(order):
             enough = int(np.searchsorted(np.cumsum(counts[near]), ENOUGH)) + 1
+            own: dict[int, list[int]] = {}
             for c in near[: max(probes, enough)]:
-                rows += [i] * pieces[c]
-                lists += [c] * pieces[c]
-                parts += range(pieces[c])
+                for p in range(pieces[c]):
+                    own.setdefault(int(base[c]) + p, []).append(int(c))
+            rows += [i] * len(own)
+            shards += own
+            lists += own.values()
         pick = pa.array(rows, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick)], ["list", "piece", "query_id", "embedding"])
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(lists, pa.list_(pa.int32())), batch.column(0).take(pick), batch.column(1).take(pick)], ["shard", "lists", "query_id", "embedding"])
 
-    asked = map_slices(queries, ["vec_id", "embedding"], "list int, piece int, query_id long, embedding array<double>", probe)
-    spread = F.element_at(F.array(*(F.lit(int(x)) for x in pieces)), F.col("list") + 1) if len(pieces) <= 256 else None
-    if spread is None:
-        table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(pieces)], "list int, pieces int")
-        placed = placed.join(F.broadcast(table), "list")
-        spread = F.col("pieces")
-    held = placed.withColumn("piece", F.pmod(F.xxhash64("vec_id", "embedding"), F.greatest(spread, F.lit(1))).cast("int")).select("list", "piece", "vec_id", "embedding")
+    asked = map_slices(queries, ["vec_id", "embedding"], "shard long, lists array<int>, query_id long, embedding array<double>", probe)
+    table = F.broadcast(spark.createDataFrame([(c, int(base[c]), int(pieces[c])) for c in range(len(counts))], "list int, base long, pieces int"))  # MOST_LISTS rows
+    held_rows = placed.join(table, "list").select((F.col("base") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("pieces"))).alias("shard"), "list", "vec_id", "embedding")
 
     def group(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         index = pickle.loads(sent.value)
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            originals, ids = matrix(left["embedding"].combine_chunks()), left["vec_id"].to_numpy()
+            originals, ids, where = matrix(left["embedding"].combine_chunks()), left["vec_id"].to_numpy(), left["list"].to_numpy()
             points = index.rotate(originals)
             asks, wanted = right["query_id"].to_numpy(), matrix(right["embedding"].combine_chunks())
-            turned, step = index.rotate(wanted, True), max(1, (1 << 20) // len(ids))
-            for at in range(0, len(asks), step):  # a million pairs at once
-                q = asks[at : at + step]
-                rows, columns = np.nonzero(scan(turned[at : at + step], points, ids[None, :] != q[:, None], k))
-                scores = np.einsum("ij,ij->i", originals[columns], wanted[at + rows])
-                order = np.lexsort((ids[columns], -scores, rows))
-                rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-                best = order[rank < k]
-                out[0] += q[rows[best]].tolist()
-                out[1] += ids[columns[best]].tolist()
-                out[2] += scores[best].tolist()
+            turned, lists = index.rotate(wanted, True), right["lists"].to_pylist()
+            best = np.full((len(asks), k), np.inf)
+            found: list[tuple] = []
+            for c in np.unique(where):
+                members, some = np.flatnonzero(where == c), np.flatnonzero([c in x for x in lists])
+                step = max(1, (1 << 20) // len(members))
+                for at in range(0, len(some), step):  # a million pairs at once
+                    q = some[at : at + step]
+                    far = scan(turned[q], points[members], ids[members][None, :] != asks[q][:, None], k, best[q].max(axis=1))
+                    near = np.partition(far, k - 1, axis=1)[:, :k] if len(members) > k else far
+                    best[q] = np.partition(np.column_stack([best[q], near]), k - 1, axis=1)[:, :k]
+                    i, j = np.nonzero(far <= (best[q].max(axis=1) * (1 + 1e-9) + 1e-9)[:, None])
+                    kept = np.isfinite(far[i, j])
+                    found.append((q[i[kept]], members[j[kept]], far[i[kept], j[kept]]))
+            rows, columns, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            near = far <= best[rows].max(axis=1) * (1 + 1e-9) + 1e-9
+            rows, columns = rows[near], columns[near]
+            scores = np.einsum("ij,ij->i", originals[columns], wanted[rows])
+            order = np.lexsort((ids[columns], -scores, rows))
+            rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+            top = order[rank < k]
+            out = [asks[rows[top]].tolist(), ids[columns[top]].tolist(), scores[top].tolist()]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = held.groupBy("list", "piece").cogroup(asked.groupBy("list", "piece")).applyInArrow(group, "query_id long, vec_id long, score double")
+    found = held_rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(group, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
