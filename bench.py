@@ -23,7 +23,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     began = time.time()
-    corpus_index(spark, sf_dir)
+    own = corpus_index(spark, sf_dir)
+    own.bm25_idf(), own.norms(), own.shard_idf(4)
     times = {"index_build": round(time.time() - began, 3)}
     for name in HEADLINE:
         began = time.time()

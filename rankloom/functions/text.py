@@ -66,8 +66,10 @@ def normalise(text: Column) -> Column:
 def tokens(text: Column, profile: Profile) -> Column:
     """Terms of a text before stemming: runs of letters and digits, long enough and no stop words."""
     found = F.regexp_extract_all(normalise(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in profile.stop_words))
-    return F.filter(found, lambda t: (F.length(F.regexp_replace(t, r"[./:+\-]", "")) >= profile.least) & ~F.array_contains(stop, t))
+    stop = profile.stop_words or ("",)
+    if profile.least <= 1:  # each match holds a letter or digit
+        return F.filter(found, lambda t: ~t.isin(*stop))
+    return F.filter(found, lambda t: (F.length(F.translate(t, "./:+-", "")) >= profile.least) & ~t.isin(*stop))
 
 
 @F.pandas_udf(StringType())
@@ -97,9 +99,8 @@ def sentence_key(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct lower-case ASCII words of two letters or more that are no stop words."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)))
 
 
 def surface_words(text: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,27 @@ def token_table(docs: DataFrame, profile: Profile, key: str = "doc_id", text: st
 
 def postings(token_rows: DataFrame, profile: Profile, key: str = "doc_id") -> DataFrame:
     """(term, key, tf) with counts per text."""
-    counts = token_rows.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    # the outer form, as Spark would cut each text twice to test a plain explode for empty lists
+    words = token_rows.select(key, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    counts = words.groupBy("term", key).agg(F.count("*").alias("tf"))
     return stem_terms(counts).groupBy("term", key).agg(F.sum("tf").alias("tf")) if profile.stem else counts
 
 
-def lengths(token_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, dl): all terms count, pruned ones too; texts without terms stay with 0."""
-    return token_rows.select(key, F.size("terms").cast("long").alias("dl"))
+def lengths(post: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, dl) from postings, so that texts aren't cut a second time; texts without terms stay with 0."""
+    sums = post.groupBy(key).agg(F.sum("tf").alias("dl"))
+    return docs.select(key).distinct().join(sums, key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
-def vocabulary(post: DataFrame, total: int, min_df: int = 1, max_df: float = 0.98, max_features: int | None = None) -> DataFrame:
+def frequencies(post: DataFrame) -> DataFrame:
+    """(term, df): the number of texts that hold a term."""
+    return post.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def vocabulary(counts: DataFrame, total: int, min_df: int = 1, max_df: float = 0.98, max_features: int | None = None) -> DataFrame:
     """(term, df) of kept terms; a max_df of 1.0 or less is a share of all texts, rounded down, and min_df at least."""
     most = max(min_df, math.floor(max_df * total) if max_df <= 1.0 else int(max_df))
-    kept = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, most))
+    kept = counts.where(F.col("df").between(min_df, most))
     return kept.orderBy(F.desc("df"), "term").limit(max_features) if max_features else kept
 
 
@@ -49,11 +58,19 @@ def term_weight(tf: Column, idf: Column, sublinear: bool = True) -> Column:
     return (1.0 + F.log(tf) if sublinear else tf) * idf
 
 
+def weights(post: DataFrame, idf: DataFrame, key: str = "doc_id", sublinear: bool = True) -> DataFrame:
+    """(key, term, w): weights over kept terms."""
+    return post.join(idf, "term").select(key, "term", term_weight(F.col("tf"), F.col("idf"), sublinear).alias("w"))
+
+
+def norms(raw: DataFrame, key: str = "doc_id") -> DataFrame:
+    return raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def unit_vectors(post: DataFrame, idf: DataFrame, key: str = "doc_id", sublinear: bool = True) -> DataFrame:
     """(key, term, w): weights over kept terms, each text's vector of length one."""
-    raw = post.join(idf, "term").select(key, "term", term_weight(F.col("tf"), F.col("idf"), sublinear).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    raw = weights(post, idf, key, sublinear)
+    return raw.join(norms(raw, key), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def shard_of(doc_id: Column, shards: int) -> Column:
@@ -65,18 +82,67 @@ def shard_of(doc_id: Column, shards: int) -> Column:
     return F.pmod(head.cast("decimal(20,0)"), F.lit(shards)).cast("int")
 
 
+def same(df: DataFrame, tag: str) -> DataFrame:
+    return df
+
+
 @dataclass
 class Index:
-    """Stored tables of one corpus, and its two numbers."""
+    """Stored tables of one corpus, and its two numbers; tables that hang on parameters are made at first use and stored too."""
 
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame
     total: int
     average: float
+    keep: Callable[[DataFrame, str], DataFrame] = same
+    made: dict[tuple, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, token_rows: DataFrame, profile: Profile, keep=lambda df, name: df) -> "Index":
+    def of(cls, token_rows: DataFrame, profile: Profile, keep: Callable[[DataFrame, str], DataFrame] = same) -> Index:
         """``keep`` stores a table and gives it back, so that each is computed once."""
-        post, dl = keep(postings(token_rows, profile), "postings"), keep(lengths(token_rows), "lengths")
+        post = keep(postings(token_rows, profile), "postings")
+        dl, terms = keep(lengths(post, token_rows), "lengths"), keep(frequencies(post), "terms")
         total, average = dl.agg(F.count("*"), F.avg("dl")).first()
-        return cls(post, dl, total, float(average or 0))
+        return cls(post, dl, terms, total, float(average or 0), keep)
+
+    def _once(self, name: str, parameters: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        at = (name, *parameters)
+        if at not in self.made:
+            self.made[at] = self.keep(build(), name)
+        return self.made[at]
+
+    def bm25_idf(self, max_df: float = 0.98) -> DataFrame:
+        """(term, df, idf) for BM25."""
+        return self._once("bm25-idf", (max_df,), lambda: bm25_idf(vocabulary(self.terms, self.total, max_df=max_df), self.total))
+
+    def tfidf_idf(self, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000) -> DataFrame:
+        """(term, df, idf) for TF-IDF."""
+        return self._once("tfidf-idf", (min_df, max_df, max_features), lambda: tfidf_idf(vocabulary(self.terms, self.total, min_df, max_df, max_features), self.total))
+
+    def norms(self, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000, sublinear: bool = True) -> DataFrame:
+        """(doc_id, norm): the length of each text's vector of TF-IDF weights."""
+        parameters = (min_df, max_df, max_features)
+        return self._once("norms", (*parameters, sublinear), lambda: norms(weights(self.postings, self.tfidf_idf(*parameters), "doc_id", sublinear), "doc_id"))
+
+    def shard_sizes(self, shards: int) -> DataFrame:
+        """(shard_id, n, average): texts of each shard and their mean length."""
+        own = self.lengths.withColumn("shard_id", shard_of(F.col("doc_id"), shards))
+        return self._once("shard-sizes", (shards,), lambda: own.groupBy("shard_id").agg(F.count("*").alias("n"), F.avg("dl").alias("average")))
+
+    def shard_idf(self, shards: int, max_df: float = 0.98, share: float = 0.25) -> DataFrame:
+        """(shard_id, term, idf) by the statistics of each shard alone."""
+        return self._once("shard-idf", (shards, max_df), lambda: self._shard_idf(shards, max_df, share))
+
+    def _shard_idf(self, shards: int, max_df: float, share: float) -> DataFrame:
+        sizes = F.broadcast(self.shard_sizes(shards))  # a row for each shard, 1024 at most
+        df = self.postings.groupBy(shard_of(F.col("doc_id"), shards).alias("shard_id"), "term").agg(F.count("*").alias("df"))
+        kept = df.join(sizes, "shard_id").where(F.col("df") <= F.greatest(F.lit(1), F.floor(max_df * F.col("n"))))
+        raw = kept.select("shard_id", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        means = F.broadcast(raw.groupBy("shard_id").agg(F.avg("raw").alias("mean")))  # a row for each shard
+        return raw.join(means, "shard_id").select("shard_id", "term", F.when(F.col("raw") < 0, share * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+    def summary(self) -> DataFrame:
+        """One row: numbers of texts, terms and postings, and the mean length."""
+        sizes = self.terms.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"))
+        return sizes.select(F.lit(self.total).cast("long").alias("n_docs"), "n_terms", "n_postings", F.lit(round(self.average, 6)).alias("average_length"))

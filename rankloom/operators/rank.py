@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import Profile, tokens
-from rankloom.operators.index import Index, bm25_idf, shard_of, term_weight, tfidf_idf, unit_vectors, vocabulary
+from rankloom.operators.index import Index, shard_of, unit_vectors, weights
 from rankloom.functions.text import stem_terms
 
 
@@ -41,7 +41,7 @@ def bm25_scores(terms: DataFrame, post: DataFrame, idf: DataFrame, dl: DataFrame
 
 
 def bm25(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: float = 1.5, b: float = 0.75, max_df: float = 0.98, pad: bool = False) -> DataFrame:
-    idf = bm25_idf(vocabulary(index.postings, index.total, max_df=max_df), index.total)
+    idf = index.bm25_idf(max_df)
     terms = query_terms(queries, profile)
     ranked = top_k(bm25_scores(terms, index.postings, idf, index.lengths, index.average, k1, b), k).select("query_id", "doc_id", "score", "rank")
     return zero_padded(ranked, terms.join(idf, "term").select("query_id").distinct(), index.lengths.select("doc_id"), k) if pad else ranked
@@ -57,26 +57,24 @@ def zero_padded(ranked: DataFrame, active: DataFrame, docs: DataFrame, k: int) -
 
 
 def tfidf(queries: DataFrame, index: Index, profile: Profile, k: int = 10, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000, sublinear: bool = True) -> DataFrame:
-    idf = tfidf_idf(vocabulary(index.postings, index.total, min_df, max_df, max_features), index.total)
-    docs = unit_vectors(index.postings, idf, "doc_id", sublinear)
+    parameters = (min_df, max_df, max_features)
+    idf = index.tfidf_idf(*parameters)
     asked = unit_vectors(query_terms(queries, profile).withColumnRenamed("qf", "tf"), idf, "query_id", sublinear).withColumnRenamed("w", "wq")
-    scored = asked.join(docs, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    # only postings of asked terms are weighed; a text's length divides its finished sum
+    sums = asked.join(weights(index.postings, idf, "doc_id", sublinear), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("sum"))
+    scored = sums.join(index.norms(*parameters, sublinear), "doc_id").select("query_id", "doc_id", (F.col("sum") / F.col("norm")).alias("score"))
     return top_k(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
 def distributed_bm25(queries: DataFrame, index: Index, profile: Profile, shards: int = 4, k: int = 10, shard_top_k: int | None = None, rrf_k: int = 60, k1: float = 1.5, b: float = 0.75, max_df: float = 0.98) -> DataFrame:
     """BM25 with each shard's own statistics, merged by reciprocal ranks; all shards in one plan."""
     deep = shard_top_k or max(10 * k, 100)
-    dl = index.lengths.withColumn("shard_id", shard_of(F.col("doc_id"), shards))
-    sizes = dl.groupBy("shard_id").agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
+    sizes = F.broadcast(index.shard_sizes(shards).select("shard_id", "average"))  # a row for each shard, 1024 at most
     post = index.postings.withColumn("shard_id", shard_of(F.col("doc_id"), shards))
-    df = post.groupBy("shard_id", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "shard_id").where(F.col("df") <= F.greatest(F.lit(1), F.floor(max_df * F.col("n"))))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    means = F.broadcast(raw.groupBy("shard_id").agg(F.avg("raw").alias("mean")))  # a row for each shard
-    idf = raw.join(means, "shard_id").select("shard_id", "term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("average")))
-    scored = query_terms(queries, profile).join(idf, "term").join(post, ["shard_id", "term"]).join(dl.select("doc_id", "dl"), "doc_id").join(F.broadcast(sizes.select("shard_id", "average")), "shard_id").groupBy("query_id", "shard_id", "doc_id").agg(F.sum(part).alias("score"))
+    matched = query_terms(queries, profile).join(index.shard_idf(shards, max_df), "term").join(post, ["shard_id", "term"]).join(index.lengths, "doc_id")
+    scored = matched.join(sizes, "shard_id").groupBy("query_id", "shard_id", "doc_id").agg(F.sum(part).alias("score"))
     local = top_k(scored, deep, within=("query_id", "shard_id")).withColumnsRenamed({"rank": "local_rank", "score": "local_score"})
     fused = local.withColumn("score", F.round(1.0 / (rrf_k + F.col("local_rank")), 8))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "local_rank", "shard_id", "doc_id")

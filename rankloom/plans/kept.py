@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.functions.text import PROFILES
 from rankloom.operators.index import Index, token_table
+from rankloom.sources.files import spread
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -27,7 +28,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 def _index(app: str, sf_dir: str, dataset: str) -> Index:
     spark = SparkSession.getActiveSession()
     profile = PROFILES[dataset]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return Index.of(token_table(docs, profile), profile, keep)
 
 

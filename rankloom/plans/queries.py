@@ -127,8 +127,12 @@ def index_lengths(spark, sf_dir):
 
 @query(f"WITH {_BASE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_vocabulary(spark, sf_dir):
-    own = corpus_index(spark, sf_dir)
-    return index.bm25_idf(index.vocabulary(own.postings, own.total), own.total).withColumn("idf", F.round("idf", 6))
+    return corpus_index(spark, sf_dir).bm25_idf().withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {_BASE} SELECT n AS n_docs, (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT count(*) FROM post) AS n_postings, round(average, 6) AS average_length FROM stat")
+def index_summary(spark, sf_dir):
+    return corpus_index(spark, sf_dir).summary()
 
 
 @query(f"""WITH {_BM25}, active AS (SELECT DISTINCT query_id FROM terms JOIN idf USING (term)),

@@ -48,3 +48,13 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A CSV report as strings; a byte order mark before the first name goes."""
     df = spark.read.option("header", True).csv(path)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+
+
+def spread(df: DataFrame, least: int = 32 << 20) -> DataFrame:
+    """Rows of a table of fewer than ``least`` bytes a core, parted over all cores: a file of one row group is read by one task.
+
+    Larger tables have splits enough and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * least else df
