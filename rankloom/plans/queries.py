@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import answer, cluster, index, ltr, metrics, rank, rewrite
+from rankloom.operators import answer, cluster, index, ltr, metrics, rank, report, rewrite
 from rankloom.plans.kept import corpus_index, keep
 from rankloom.sources import store
 
@@ -462,3 +462,25 @@ def cleaned_fields(spark, sf_dir):
 @query()
 def misspelled_queries(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", rewrite.misspelled(F.col("query")).alias("query"))
+
+
+# --- reports
+
+
+def made_up_report(spark, sf_dir):
+    """Report rows by a rule: a data set for each language, a model for each source."""
+    scores = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("dataset"), F.col("source").alias("model"))
+    return scores.agg(F.round(F.sum(F.col("doc_id") % 97) / F.count("*"), 6).alias("MAP (all)"), F.round(F.sum(F.col("doc_id") % 89) / F.count("*"), 6).alias("nDCG@10"))
+
+
+_REPORT = "WITH r AS (SELECT lang AS dataset, source AS model, round(sum(doc_id % 97)::DOUBLE / count(*), 6) AS map, round(sum(doc_id % 89)::DOUBLE / count(*), 6) AS ndcg FROM documents GROUP BY ALL)"
+
+
+@query(f"{_REPORT} SELECT dataset, model, map, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, ndcg FROM r")
+def normalised_report(spark, sf_dir):
+    return report.normalised(made_up_report(spark, sf_dir), ["dataset", "model"])
+
+
+@query(f"{_REPORT} SELECT dataset, min(model) AS model, map FROM r JOIN (SELECT dataset, max(map) AS map FROM r GROUP BY 1) USING (dataset, map) GROUP BY dataset, map")
+def best_models(spark, sf_dir):
+    return report.best_models(normalised_report(spark, sf_dir))
