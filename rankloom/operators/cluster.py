@@ -40,7 +40,8 @@ def topic_terms(members: DataFrame, docs: DataFrame, profile: Profile, stop: tup
     """(cluster_id, term, n, rank): useful terms by the number of sampled texts of the cluster that hold them."""
     first = Window.partitionBy("cluster_id").orderBy("doc_id")
     part = members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("cluster_id", "doc_id")
-    words = part.join(docs, "doc_id").select("cluster_id", "doc_id", F.explode(F.array_distinct(tokens(F.col("text"), profile))).alias("term"))
+    # the outer form, as Spark would cut each text twice to test a plain explode; the test of useful terms drops its nulls
+    words = part.join(docs, "doc_id").select("cluster_id", "doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text"), profile))).alias("term"))
     digits = F.length(F.regexp_replace("term", "[^0-9]", ""))
     useful = (F.length("term") >= 3) & (digits * 2 < F.length("term")) & ~F.col("term").isin(*stop)
     best = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "term")

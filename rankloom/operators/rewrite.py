@@ -14,7 +14,8 @@ from rankloom.functions.text import Profile, is_arabic, surface_words, tokens
 
 def surface_vocabulary(docs: DataFrame, least: int = 20, most: int = 80_000, text: str = "text") -> DataFrame:
     """(term, freq) of the commonest surface words."""
-    counts = docs.select(F.explode(surface_words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    words = docs.select(F.explode_outer(surface_words(F.col(text))).alias("term")).where(F.col("term").isNotNull())
+    counts = words.groupBy("term").agg(F.count("*").alias("freq"))
     return counts.where(F.col("freq") >= least).orderBy(F.desc("freq"), "term").limit(most)
 
 
