@@ -198,6 +198,29 @@ def test_planted_passages_are_found(spark):
         assert abs(a - 80) <= 2 and abs(b - 140) <= 2
 
 
+def test_exact_passages_among_frequent_lines(spark):
+    """Every pair of texts that share 50 words in a row, by brute force, ends in one class with these words in its spans."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    lines = [[word() for _ in range(12)] for _ in range(40)]
+    texts = [[w for _ in range(16) for w in rng.choice(lines)] for _ in range(300)]
+    for i in range(0, 300, 2):
+        shared = [w for _ in range(6) for w in rng.choice(lines)]
+        for x in (texts[i], texts[i + 1]):
+            at = 12 * rng.randint(0, 16)
+            x[at:at] = [word(), *shared, word()]
+    places = {}
+    for i, x in enumerate(texts):
+        for s in range(len(x) - 49):
+            places.setdefault(tuple(x[s : s + 50]), set()).add((i, s))
+    out = {r["doc_id"]: r for r in passages.passage_classes(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()}
+    spans = {i: [tuple(map(int, p.split(":"))) for p in r["spans"].split(",") if p] for i, r in out.items()}
+    shared = [p for p in places.values() if len({i for i, _ in p}) > 1]
+    assert len(shared) > 150
+    assert all(len({out[i]["class_id"] for i, _ in p}) == 1 for p in shared)
+    assert all(any(a <= s and s + 50 <= b for a, b in spans[i]) for p in shared for i, s in p)
+
+
 # --- personal data
 
 
