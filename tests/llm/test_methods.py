@@ -221,6 +221,43 @@ def test_exact_passages_among_frequent_lines(spark):
     assert all(any(a <= s and s + 50 <= b for a, b in spans[i]) for p in shared for i, s in p)
 
 
+def slow_verify(a, b):
+    """(start, end) of the spans of a that have a Jaccard similarity of 0.8 to some span of b, set by set."""
+    spans = [set(b[j : j + 46].tolist()) for j in range(len(b) - 45)]
+    hits = [i for i in range(len(a) - 45) if any(len(x & y) >= 0.8 * len(x | y) for x in [set(a[i : i + 46].tolist())] for y in spans)]
+    return (hits[0], hits[-1] + 46) if hits else None
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_near_passages_are_verified(seed):
+    rng = np.random.default_rng(seed)
+    values = (30, 1 << 31)[seed % 2]  # few values repeat within a span
+    a, b = (rng.integers(0, values, n, dtype=np.uint32) for n in (60 + seed, 75 + seed))
+    at = int(rng.integers(0, 10))
+    b[at + 4 : at + 52] = a[at : at + 48]
+    b[at + 20 : at + 20 + seed % 7] = rng.integers(0, values, seed % 7, dtype=np.uint32)
+    got = passages.verify(a, b)
+    assert (got and got[:2]) == slow_verify(a, b)
+    if got:
+        x, y = (set(z[i : i + 46].tolist()) for z, i in ((a, got[0]), (b, got[2])))
+        assert len(x & y) >= 0.8 * len(x | y)
+
+
+def test_near_passages_of_50_to_60_words_are_found(spark):
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    rows = []
+    for i in range(120):
+        words = fresh(50 + i % 11)
+        for k in range(2):
+            own = list(words)
+            if k:
+                own[len(own) // 2] = "other"
+            rows.append((2 * i + (k if i % 3 else 1 - k), " ".join([*fresh(rng.randint(60, 90)), *own, *fresh(rng.randint(60, 90))])))
+    out = {r["doc_id"]: r["class_id"] for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[2 * i] == out[2 * i + 1] == 2 * i for i in range(120)) >= 117
+
+
 # --- personal data
 
 
