@@ -34,8 +34,8 @@ K = 20
 SAMPLE = 16384
 #: Rows of a list on average, until there are MOST_LISTS of them.
 LIST_ROWS, MOST_LISTS = 1024, 4096
-#: Share of all lists that a query scans, within bounds, and the fewest candidates that they must hold.
-PROBE_SHARE, LEAST_PROBES, MOST_PROBES, ENOUGH = 0.75, 4, 256, 200
+#: Share of all lists that a query scans, at any number of lists, the fewest lists, and the fewest candidates in them.
+PROBE_SHARE, LEAST_PROBES, ENOUGH = 0.75, 4, 200
 SHARD = 16384
 COLUMNS = 16
 EPSILON = 2.1
@@ -94,6 +94,11 @@ def fit(rows: DataFrame, seed: int = SEED) -> Index | None:
     return own
 
 
+def most_probes(lists: int) -> int:
+    """How many lists a query scans: the same share of them however many there are."""
+    return min(lists, max(LEAST_PROBES, round(PROBE_SHARE * lists)))
+
+
 def scan(queries: np.ndarray, points: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray) -> np.ndarray:
     """(queries, points) of squared distances, infinite where the adaptive scan abandoned the pair.
 
@@ -157,7 +162,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, index: Index | None
         held += n
         if n > SHARD:
             at, held = at + pieces[c], 0
-    probes = int(min(len(counts), max(LEAST_PROBES, min(MOST_PROBES, round(PROBE_SHARE * len(counts))))))
+    probes = most_probes(len(counts))
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = pickle.loads(sent.value)

@@ -374,3 +374,21 @@ def test_recall(spark):
         found += len(set(best) & set(part["vec_id"]))
         assert np.allclose(part.sort_values("rank")["score"], np.sort(part["score"])[::-1])
     assert found >= 0.9 * 20 * frame["query_id"].nunique()
+
+
+def test_recall_with_many_lists(spark, monkeypatch):
+    """More lists than 341, of which 256 are less than three quarters: lists are made small, so that few rows do."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = materialise(ann.valid(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")), "many")
+    index = ann.fit(rows)
+    assert len(index.centres) > 341
+    frame = ann.search(rows, rows.where("vec_id % 400 = 0"), index=index).toPandas()
+    found = 0
+    for q, part in frame.groupby("query_id"):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        found += len(set(np.argsort(-scores)[:20]) & set(part["vec_id"]))
+    assert found >= 0.9 * 20 * frame["query_id"].nunique()
