@@ -14,6 +14,7 @@ are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import map_slices, materialise
 from rankloom.llm.components import connected_components
+from rankloom.llm.passages import mix, shingles
 
 RADIUS = 2
 SHINGLE = 3
@@ -195,13 +197,109 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near-duplicates of ``keep_one``: Jaccard similarity of sets of five-word shingles.
+WIDTH, LEAST = 5, 0.8
+#: Min-hashes in a band and bands: texts at LEAST share a band with a probability of 0.997.
+ROWS, BANDS = 8, 32
+#: Texts of one band that are compared in full; of more, each with the first, and those unlike it among themselves.
+FULL = 16
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted hashes of the five-word shingles; of the whole sequence where it is shorter, nothing without words."""
+    own = shingles(text, WIDTH)
+    return np.unique(own if len(own) else shingles(text, max(1, len(text.encode().split()))))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash of each band of min-hashes; texts without words share all bands."""
+    k = np.arange(ROWS * BANDS, dtype=np.uint64)
+    factors = mix(k + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(len(k), np.iinfo(np.uint64).max)
+    for i, factor in enumerate(factors if len(own) else ()):
+        least[i] = ((own ^ (factor >> np.uint64(1))) * factor).min()
+    total = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        total = mix(total * np.uint64(0xD6E8FEB86659FD93) + part)
+    return total.view(np.int64)
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, u, v, star) for rows (band, u) sorted by both: pairs to compare; u of a star comes again if it fails."""
+    held = [np.zeros(0, np.int64)] * 2
+
+    def pairs(band: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(band)))
+        found = [(np.zeros(0, np.int64),) * 2]
+        first = np.repeat(starts, sizes)
+        for step in range(1, min(FULL, int(sizes.max(initial=1)))):
+            own = np.flatnonzero((np.arange(len(band)) - first >= step) & (np.repeat(sizes, sizes) <= FULL))
+            found.append((own, own - step))
+        large = np.repeat(sizes, sizes) > FULL
+        own = np.flatnonzero(large & (first != np.arange(len(band))))
+        star = np.append(np.zeros(sum(len(x) for x, _ in found), bool), np.ones(len(own), bool))
+        i, j = (np.concatenate(x) for x in zip(*found, (own, first[own])))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (band[i], u[i], u[j], star)], ["band", "u", "v", "star"])
+
+    for batch in batches:
+        band, u = (np.append(x, batch.column(i).to_numpy()) for i, x in enumerate(held))
+        if not len(band):
+            continue
+        cut = int(np.searchsorted(band, band[-1]))  # the last band may go on
+        held = [band[cut:], u[cut:]]
+        yield pairs(band[:cut], u[:cut])
+    yield pairs(*held)
+
+
+def similar(texts: DataFrame) -> DataFrame:
+    """(u, v) of alike texts among stored distinct ones (u long, text): Jaccard similarity of LEAST or more."""
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [bands(shingle_set(x)) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "u"])
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["u", "own"])
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= LEAST * max(len(a), len(b)) else 0
+            good.append(both >= LEAST * (len(a) + len(b) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["u", "v", "good"])
+
+    rows, out = map_slices(texts, ["u", "text"], "band long, u long", sketch), None
+    while True:
+        pairs = materialise(rows.repartition("band").sortWithinPartitions("band", "u").mapInArrow(_partners, "band long, u long, v long, star boolean"), "pairs")
+        asked = pairs.select("u", "v").distinct()
+        ends = asked.select("u").unionByName(asked.select(F.col("v").alias("u"))).distinct()
+        own = materialise(map_slices(texts.join(ends, "u", "left_semi"), ["u", "text"], "u long, own binary", sets), "sets")
+        both = asked.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("own").alias("other")), "v")
+        told = materialise(map_slices(both, ["u", "v", "own", "other"], "u long, v long, good boolean", compare), "told")
+        good = told.where("good").select("u", "v")
+        out = good if out is None else out.unionByName(good)
+        again = pairs.where("star").join(told.where("not good"), ["u", "v"], "left_semi").select("band", "u")
+        if again.limit(1).count() == 0:
+            return out
+        rows = again
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without near-duplicates: of each component the row with its smallest doc_id stays, once."""
-    prints = materialise(fingerprints(docs), "prints")
-    found = near_duplicates(prints)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
+    """Documents without near-duplicates: of each component the row with its smallest doc_id stays, once.
+
+    Texts are linked from a Jaccard similarity of LEAST on. Candidates are texts that share a band of min-hashes: the
+    fingerprints of such texts differ in so many bits that trees of that radius would copy most of them everywhere.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = materialise(docs.groupBy(own.alias("u")).agg(F.min("doc_id").alias("least"), F.coalesce(F.min("text"), F.lit("")).alias("text")), "texts")
+    roots = connected_components(similar(texts)).withColumnRenamed("node", "u")
+    labels = materialise(texts.select("u", "least").join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "labels")
+    found = labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    chosen = found.where("least = component_id").select(F.col("least").alias("doc_id")).distinct()
     kept = docs.join(chosen, "doc_id", "left_semi")
-    again = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # rows without an id can't be told apart by it: those of groups without any id stay, one for each text

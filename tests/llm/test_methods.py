@@ -169,6 +169,38 @@ def test_forest_and_top_tree_lose_no_link(seed):
     assert classes(p for leaf in range(leaves.max() + 1) for p in simhash.forest(points[index[leaves == leaf]], 2)) == want
 
 
+def test_kept_documents_hold_no_near_copy(spark):
+    """Components of a five-word Jaccard similarity of 0.8, by brute force; a group of over FULL texts of one band too."""
+    rng = random.Random(17)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts = []
+    for i in range(60):
+        base = fresh(rng.randint(80, 200))
+        texts.append(base)
+        for _ in range(30 if i == 0 else 1):
+            near = list(base)
+            for _ in range(len(near) // (60 if i % 3 else 100)):
+                near[rng.randrange(len(near))] = fresh(1)[0]
+            texts.append(near)
+    texts += [["one", "two"], ["ONE", "two"], ["one"], [], ["", " "]]
+    rng.shuffle(texts)
+    parts = [{tuple(w.lower() for w in x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (" ".join(x).split() for x in texts)]
+    top = list(range(len(texts)))
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(parts[i] & parts[j]) >= 0.8 * len(parts[i] | parts[j]):
+            x, y = find(i), find(j)
+            top[max(x, y)] = min(x, y)
+    got = simhash.keep_one(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string"))
+    assert len({find(k) for k in top}) < 0.55 * len(texts)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(k) for k in top})
+
+
 def test_compact_windows_are_the_cartesian_tree():
     def tree(values, a, b, length):
         if b - a + 1 < length:
