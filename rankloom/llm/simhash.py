@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import map_slices, materialise
@@ -289,6 +289,8 @@ def similar(texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row with its smallest doc_id stays, once.
 
+    Rows may repeat an id or have none: of equal ids the text with the smaller hash comes first, null ids come last.
+
     Texts are linked from a Jaccard similarity of LEAST on. Candidates are texts that share a band of min-hashes: the
     fingerprints of such texts differ in so many bits that trees of that radius would copy most of them everywhere.
     """
@@ -296,13 +298,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = materialise(docs.groupBy(own.alias("u")).agg(F.min("doc_id").alias("least"), F.coalesce(F.min("text"), F.lit("")).alias("text")), "texts")
     roots = connected_components(similar(texts)).withColumnRenamed("node", "u")
     labels = materialise(texts.select("u", "least").join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "labels")
-    found = labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    chosen = found.where("least = component_id").select(F.col("least").alias("doc_id")).distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # ids need not be unique or present: a row is known by its id and its text, and rows without an id come last
+    best = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "u")).alias("m")).select("m.u", "m.least")
+    kept = docs.withColumn("u", own).join(best, "u").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    again = kept.groupBy("u").count().where("count > 1").select("u")
     if again.limit(1).count():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    # rows without an id can't be told apart by it: those of groups without any id stay, one for each text
-    if found.where("component_id is null").limit(1).count():
-        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+        place = Window.partitionBy("u").orderBy(F.to_json(F.struct(*docs.columns)))
+        some = kept.join(again, "u", "left_semi").withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
+        kept = kept.join(again, "u", "left_anti").unionByName(some)
     return kept.select(*docs.columns)

@@ -12,6 +12,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import ann, bpe, media, mixing, passages, pii, quality, simhash, tokenbin, toxicity
@@ -201,6 +202,20 @@ def test_kept_documents_hold_no_near_copy(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(k) for k in top})
 
 
+def test_kept_rows_need_no_ids_of_their_own(spark):
+    """Different texts of one id all stay; a near copy without an id goes, and a group without ids keeps one."""
+    rng = random.Random(18)
+    fresh = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(150))
+    a, b, c, d = fresh(), fresh(), fresh(), fresh()
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a + " more"), (None, c), (None, c), (None, c + " more"), (3, d), (None, d), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(frame).collect()))
+    ends = [x for x in kept if x[0] == 0 and x[1]]
+    assert sorted(x for x in kept if x not in ends) == sorted([(0, ""), (1, a), (1, b), (3, d)])
+    assert len(ends) == 1 and ends[0][1] in (c, c + " more")
+    assert kept == sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(frame.orderBy(F.desc("text")).repartition(3)).collect()))
+
+
 def test_compact_windows_are_the_cartesian_tree():
     def tree(values, a, b, length):
         if b - a + 1 < length:
