@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -47,14 +49,64 @@ def profile_of(dataset: str | None) -> Profile:
     return PROFILES.get((dataset or "").strip().lower() or "sample_dataset", Profile())
 
 
+def _touched() -> str:
+    """A character class of what repair may change: compatibility forms, combining marks, controls, marks of broken UTF-8, "&"."""
+    found = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.combining(chr(c)))]
+    found += [ord("&"), *range(9), 11, *range(14, 32), *range(0x7F, 0xA0), 0xC2, 0xC3, 0xE2, 0xF0, 0xFEFF, 0xFFFD]
+    parts, low = [], None
+    for c in sorted(set(found)):
+        if low is None or c != high + 1:
+            if low is not None:
+                parts.append((low, high))
+            low = c
+        high = c
+    parts.append((low, high))
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in parts) + "\\x{10000}-\\x{10ffff}]"
+
+
+TOUCHED = _touched()
+_BROKEN = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\ufeff\ufffd]")
+
+
+def _reread(m: re.Match) -> str:
+    """Characters that are UTF-8 read as Windows-1252 (or Latin-1) read anew; others stay."""
+    raw = b""
+    for c in m[0]:
+        try:
+            raw += c.encode("cp1252")
+        except UnicodeEncodeError:
+            if ord(c) > 0xFF:
+                return m[0]
+            raw += bytes([ord(c)])
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return m[0]
+
+
+def repair(text: str) -> str:
+    """Broken encodings and HTML entities mended, control characters out, compatibility forms folded (NFKC)."""
+    if "&" in text and "<" not in text:
+        text = html.unescape(text)
+    return unicodedata.normalize("NFKC", _CONTROLS.sub("", _BROKEN.sub(_reread, text)))
+
+
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility forms folded; broken encodings are left as they are."""
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _repair(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else repair(x))
+
+
+def repaired(text: Column) -> Column:
+    """The text after ``repair``; only texts that it may change go to Python, the others stay in the JVM."""
+    return F.coalesce(_repair(F.when(text.rlike(TOUCHED), text)), text)
 
 
 def normalise(text: Column) -> Column:
-    """Quotes and dashes folded, negations spelled out, lower-cased, URLs, tags and underscores blanked, white space collapsed."""
+    """Quotes and dashes folded, negations spelled out, lower-cased, URLs, tags and underscores blanked, white space collapsed.
+
+    The text is to be ``repaired`` first where it may hold broken encodings or compatibility forms.
+    """
     x = F.translate(F.coalesce(text, F.lit("")), "’‘–—−", "''---")
     x = F.regexp_replace(x, r"(?i)\bwon't\b", "will not")
     x = F.regexp_replace(x, r"(?i)\bcan't\b", "can not")

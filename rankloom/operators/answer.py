@@ -49,6 +49,20 @@ def prompts(queries: DataFrame, context: DataFrame, size: int = 1800) -> DataFra
     return queries.join(blocks, "query_id", "left").select("query_id", F.concat(F.lit("Answer from the numbered sources only and cite them.\n\n"), F.coalesce("blocks", F.lit("")), F.lit("\n\nQuestion: "), F.col("query")).alias("prompt"))
 
 
+def sources(ranking: DataFrame, docs: DataFrame, most: int = 5, size: int = 500) -> DataFrame:
+    """(query_id, sources): for each query its best documents as a list of (source, doc_id, title, snippet, rank, score), by rank."""
+    title = F.col("title") if "title" in docs.columns else F.lit("")
+    held = ranking.where(F.col("rank") <= most).select("query_id", "doc_id", "rank", "score").join(docs.select("doc_id", title.alias("title"), F.substring("text", 1, size).alias("snippet")), "doc_id", "left")
+    rows = held.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title", "snippet", "score"))).alias("s"))
+    return rows.select("query_id", F.transform("s", lambda x, i: F.struct((i + 1).alias("source"), x["doc_id"].alias("doc_id"), x["title"].alias("title"), x["snippet"].alias("snippet"), x["rank"].alias("rank"), x["score"].alias("score"))).alias("sources"))
+
+
 def generated(asked: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """(query_id, answer) by a callable that the caller supplies; it runs on the executors."""
+    """(query_id, answer) by a callable that the caller supplies; it runs on the executors, a call a row, as each is a request of its own."""
     return asked.select("query_id", F.udf(model, "string")("prompt").alias("answer"))
+
+
+def generated_where_sufficient(made: DataFrame, asked: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """``answers`` with the model's text in place of theirs; where these are insufficient the model isn't called."""
+    new = generated(asked.join(made.where("confidence <> 'insufficient'"), "query_id", "left_semi"), model).withColumnRenamed("answer", "new")
+    return made.join(new, "query_id", "left").withColumn("answer", F.coalesce("new", "answer")).drop("new")

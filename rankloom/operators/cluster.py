@@ -7,17 +7,35 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import Profile, tokens
+from rankloom.functions.text import Profile, repaired, tokens
+from rankloom.operators.vectors import train_sample
 
 # Words that say nothing about a topic in a clinical and in a question corpus.
-CLINICAL_STOP = tuple("patient patients study studies trial trials treatment clinical participants subjects disease group groups therapy dose drug safety efficacy effect effects".split())
-QUESTION_STOP = tuple("best good way ways does did doing get make know people like want use find need think".split())
-
-
-def centres(vectors: DataFrame, k: int, seed: int = 13, max_iter: int = 100, sample: int = 100_000) -> DataFrame:
-    """(cluster_id, centre) by k-means on at most about ``sample`` vectors (doc_id, embedding)."""
-    total = vectors.count()
-    part = vectors if total <= sample else vectors.sample(sample / total, seed=seed)
+CLINICAL_STOP = tuple(
+    "able abnormal adult adults age aged also arm arms assess assessment available based care clinical clinically condition conditions "
+    "consent control controlled current currently criteria data day days disease diseases dose doses drug eligible eligibility efficacy "
+    "evaluate evaluation evidence excluded exclusion female follow group groups health history including inclusion intervention known male "
+    "measure measures medical month months not objective objectives outcome outcomes participant participants patient patients phase placebo "
+    "previous previously primary prior procedure receive received receiving recruiting related response safety secondary serious significant "
+    "status study studies subject subjects therapy therapies treatment treatments trial trials use used using visit weeks willing with without "
+    "written year years".split()
+)
+QUESTION_STOP = tuple(
+    "best better compar compare difference differ doe does did good happen how like make mean not people peopl question quora thing things "
+    "use way ways what when where which who why work".split()
+)
+#: Domain stop words by data set; others have none.
+STOP = {"clinical_trials": CLINICAL_STOP, "quora": QUESTION_STOP}
+#: Vectors that k-means is fitted on, at most.
+SAMPLE = 100_000
+
+
+def centres(vectors: DataFrame, k: int, seed: int = 13, max_iter: int = 100, sample: int = SAMPLE) -> DataFrame:
+    """(cluster_id, centre) by k-means on at most ``sample`` vectors (doc_id, embedding): the first by a seeded hash of doc_id.
+
+    Every vector is then assigned. The sample is the same however the table is parted.
+    """
+    part = train_sample(vectors, sample, seed)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="v").fit(part.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, centre array<double>")
 
@@ -41,7 +59,7 @@ def topic_terms(members: DataFrame, docs: DataFrame, profile: Profile, stop: tup
     first = Window.partitionBy("cluster_id").orderBy("doc_id")
     part = members.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("cluster_id", "doc_id")
     # the outer form, as Spark would cut each text twice to test a plain explode; the test of useful terms drops its nulls
-    words = part.join(docs, "doc_id").select("cluster_id", "doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text"), profile))).alias("term"))
+    words = part.join(docs, "doc_id").select("cluster_id", "doc_id", F.explode_outer(F.array_distinct(tokens(repaired(F.col("text")), profile))).alias("term"))
     digits = F.length(F.regexp_replace("term", "[^0-9]", ""))
     useful = (F.length("term") >= 3) & (digits * 2 < F.length("term")) & ~F.col("term").isin(*stop)
     best = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "term")
@@ -55,3 +73,17 @@ def topic_labels(terms: DataFrame) -> DataFrame:
 
 def topic_diversity(terms: DataFrame) -> DataFrame:
     return terms.agg(F.round(F.countDistinct("term") / F.count("*"), 6).alias("diversity"))
+
+
+def topic_report(clusters: DataFrame, terms: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:
+    """(cluster_id, label, terms, examples): a cluster's topic as text, and its first documents by distance, then id."""
+    words = terms.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("terms"))
+    near = Window.partitionBy("cluster_id").orderBy("distance", "doc_id")
+    first = members.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= most)
+    examples = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("examples"))
+    return clusters.select("cluster_id").join(topic_labels(terms), "cluster_id", "left").join(words, "cluster_id", "left").join(examples, "cluster_id", "left")
+
+
+def members_of(assignments: DataFrame, cluster_id: int) -> DataFrame:
+    """The documents of one cluster, nearest first; a table stored by cluster_id is pruned to it."""
+    return assignments.where(F.col("cluster_id") == cluster_id).orderBy("distance", "doc_id")

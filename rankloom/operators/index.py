@@ -9,26 +9,40 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import Profile, stem_terms, tokens
+from rankloom.functions.text import Profile, repaired, stem_terms, tokens
 
 
 def token_table(docs: DataFrame, profile: Profile, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, terms): the terms of each text in order, before stemming."""
-    return docs.select(key, tokens(F.col(text), profile).alias("terms"))
+    """(key, terms): the terms of each text in order, before stemming. Ids are unique, as ``store.upsert`` leaves them."""
+    return docs.select(key, tokens(repaired(F.col(text)), profile).alias("terms"))
 
 
 def postings(token_rows: DataFrame, profile: Profile, key: str = "doc_id") -> DataFrame:
-    """(term, key, tf) with counts per text."""
+    """(term, key, tf, dl, spot) with counts per text; each row holds its text's length and place among shards.
+
+    A ranking so needs no join with texts at all.
+    """
+    rows = token_rows.select(key, F.size("terms").cast("long").alias("dl"), spot(F.col(key)).alias("spot"), F.explode_outer("terms").alias("term"))
     # the outer form, as Spark would cut each text twice to test a plain explode for empty lists
-    words = token_rows.select(key, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    counts = words.groupBy("term", key).agg(F.count("*").alias("tf"))
-    return stem_terms(counts).groupBy("term", key).agg(F.sum("tf").alias("tf")) if profile.stem else counts
+    counts = rows.where(F.col("term").isNotNull()).groupBy("term", key, "dl", "spot").agg(F.count("*").alias("tf"))
+    return stem_terms(counts).groupBy("term", key, "dl", "spot").agg(F.sum("tf").alias("tf")) if profile.stem else counts
+
+
+def by_term(post: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Postings in ranges of (term, key), each sorted: a file's row groups hold few terms, and a frequent term many tasks."""
+    return post.repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def of_terms(post: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """Postings of the given terms only: up to ``most`` terms are named in the scan, so that other row groups stay unread."""
+    named = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()] if most else []
+    return post.where(F.col("term").isin(named)) if most and len(named) <= most else post
 
 
 def lengths(post: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, dl) from postings, so that texts aren't cut a second time; texts without terms stay with 0."""
-    sums = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return docs.select(key).distinct().join(sums, key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"))
+    held = post.groupBy(key).agg(F.max("dl").alias("dl"))
+    return docs.select(key).distinct().join(held, key, "left").select(key, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
 def frequencies(post: DataFrame) -> DataFrame:
@@ -36,8 +50,10 @@ def frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(counts: DataFrame, total: int, min_df: int = 1, max_df: float = 0.98, max_features: int | None = None) -> DataFrame:
-    """(term, df) of kept terms; a max_df of 1.0 or less is a share of all texts, rounded down, and min_df at least."""
+def vocabulary(counts: DataFrame, total: int, min_df: int = 1, max_df: float | None = 0.98, max_features: int | None = None) -> DataFrame:
+    """(term, df) of kept terms; a max_df of 1.0 or less is a share of all texts, rounded down, and min_df at least; None keeps all."""
+    if max_df is None:
+        return counts.where(F.col("df") >= min_df)
     most = max(min_df, math.floor(max_df * total) if max_df <= 1.0 else int(max_df))
     kept = counts.where(F.col("df").between(min_df, most))
     return kept.orderBy(F.desc("df"), "term").limit(max_features) if max_features else kept
@@ -73,13 +89,23 @@ def unit_vectors(post: DataFrame, idf: DataFrame, key: str = "doc_id", sublinear
     return raw.join(norms(raw, key), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def shard_of(doc_id: Column, shards: int) -> Column:
-    """The first 8 bytes of SHA-256 of the trimmed id, big-endian, modulo the number of shards (1 to 1024)."""
+def spot(doc_id: Column) -> Column:
+    """The first 8 bytes of SHA-256 of the trimmed id, big-endian, as a signed number."""
+    text = F.trim(doc_id.cast("string"))
+    named = F.when(text == "", F.raise_error(F.lit("blank document id"))).otherwise(text)
+    return F.conv(F.substring(F.sha2(named, 256), 1, 16), 16, -10).cast("long")
+
+
+def shard_at(place: Column, shards: int) -> Column:
+    """The unsigned value of a ``spot`` modulo the number of shards (1 to 1024)."""
     if not 1 <= shards <= 1024:
         raise ValueError("1 to 1024 shards")
-    text = F.trim(doc_id.cast("string"))
-    head = F.conv(F.substring(F.sha2(F.when(text == "", F.raise_error(F.lit("blank document id"))).otherwise(text), 256), 1, 16), 16, 10)
-    return F.pmod(head.cast("decimal(20,0)"), F.lit(shards)).cast("int")
+    wrapped = F.when(place < 0, F.lit(2**64 % shards)).otherwise(F.lit(0))
+    return F.pmod(F.pmod(place, F.lit(shards)) + wrapped, F.lit(shards)).cast("int")
+
+
+def shard_of(doc_id: Column, shards: int) -> Column:
+    return shard_at(spot(doc_id), shards)
 
 
 def same(df: DataFrame, tag: str) -> DataFrame:
@@ -101,7 +127,8 @@ class Index:
     @classmethod
     def of(cls, token_rows: DataFrame, profile: Profile, keep: Callable[[DataFrame, str], DataFrame] = same) -> Index:
         """``keep`` stores a table and gives it back, so that each is computed once."""
-        post = keep(postings(token_rows, profile), "postings")
+        counts = keep(postings(token_rows, profile), "counts")
+        post = keep(by_term(counts), "postings")
         dl, terms = keep(lengths(post, token_rows), "lengths"), keep(frequencies(post), "terms")
         total, average = dl.agg(F.count("*"), F.avg("dl")).first()
         return cls(post, dl, terms, total, float(average or 0), keep)
@@ -112,15 +139,15 @@ class Index:
             self.made[at] = self.keep(build(), name)
         return self.made[at]
 
-    def bm25_idf(self, max_df: float = 0.98) -> DataFrame:
+    def bm25_idf(self, max_df: float | None = 0.98) -> DataFrame:
         """(term, df, idf) for BM25."""
         return self._once("bm25-idf", (max_df,), lambda: bm25_idf(vocabulary(self.terms, self.total, max_df=max_df), self.total))
 
-    def tfidf_idf(self, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000) -> DataFrame:
+    def tfidf_idf(self, min_df: int = 2, max_df: float | None = 0.98, max_features: int | None = 100_000) -> DataFrame:
         """(term, df, idf) for TF-IDF."""
         return self._once("tfidf-idf", (min_df, max_df, max_features), lambda: tfidf_idf(vocabulary(self.terms, self.total, min_df, max_df, max_features), self.total))
 
-    def norms(self, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000, sublinear: bool = True) -> DataFrame:
+    def norms(self, min_df: int = 2, max_df: float | None = 0.98, max_features: int | None = 100_000, sublinear: bool = True) -> DataFrame:
         """(doc_id, norm): the length of each text's vector of TF-IDF weights."""
         parameters = (min_df, max_df, max_features)
         return self._once("norms", (*parameters, sublinear), lambda: norms(weights(self.postings, self.tfidf_idf(*parameters), "doc_id", sublinear), "doc_id"))
@@ -136,7 +163,7 @@ class Index:
 
     def _shard_idf(self, shards: int, max_df: float, share: float) -> DataFrame:
         sizes = F.broadcast(self.shard_sizes(shards))  # a row for each shard, 1024 at most
-        df = self.postings.groupBy(shard_of(F.col("doc_id"), shards).alias("shard_id"), "term").agg(F.count("*").alias("df"))
+        df = self.postings.groupBy(shard_at(F.col("spot"), shards).alias("shard_id"), "term").agg(F.count("*").alias("df"))
         kept = df.join(sizes, "shard_id").where(F.col("df") <= F.greatest(F.lit(1), F.floor(max_df * F.col("n"))))
         raw = kept.select("shard_id", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         means = F.broadcast(raw.groupBy("shard_id").agg(F.avg("raw").alias("mean")))  # a row for each shard

@@ -6,19 +6,22 @@ in which a sum was taken.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import Profile, tokens
-from rankloom.operators.index import Index, shard_of, unit_vectors, weights
-from rankloom.functions.text import stem_terms
+from rankloom.functions.text import Profile, repaired, stem_terms, tokens
+from rankloom.operators.index import Index, of_terms, shard_at, unit_vectors, weights
 
 
 def query_terms(queries: DataFrame, profile: Profile) -> DataFrame:
     """(query_id, term, qf) of queries (query_id, query)."""
-    counts = queries.select("query_id", F.explode(tokens(F.col("query"), profile)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    counts = queries.select("query_id", F.explode(tokens(repaired(F.col("query")), profile)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     return stem_terms(counts).groupBy("query_id", "term").agg(F.sum("qf").alias("qf")) if profile.stem else counts
 
 
@@ -29,24 +32,46 @@ def top_k(scored: DataFrame, k: int, places: int = 6, positive: bool = True, wit
     return (rounded.where("score > 0") if positive else rounded).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_scores(terms: DataFrame, post: DataFrame, idf: DataFrame, dl: DataFrame, average: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_scores(terms: DataFrame, post: DataFrame, idf: DataFrame, average: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score): sum of qf x idf x tf (k1 + 1) / (tf + k1 (1 - b + b dl / average))."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 above 0 and b from 0 to 1")
     # the query set is small next to the postings; Spark broadcasts it where its measured size allows
-    matched = terms.join(idf, "term").join(post, "term").join(dl, "doc_id")
+    matched = post.join(terms.join(idf, "term"), "term")
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / (average or 1.0)))
     return matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: float = 1.5, b: float = 0.75, max_df: float = 0.98, pad: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: float = 1.5, b: float = 0.75, max_df: float | None = 0.98, pad: bool = False, named: int = 0) -> DataFrame:
+    """``named``: up to so many asked terms are named in the scan of the postings, for few queries."""
     idf = index.bm25_idf(max_df)
     terms = query_terms(queries, profile)
-    ranked = top_k(bm25_scores(terms, index.postings, idf, index.lengths, index.average, k1, b), k).select("query_id", "doc_id", "score", "rank")
+    post = of_terms(index.postings, terms, named)
+    ranked = top_k(bm25_scores(terms, post, idf, index.average, k1, b), k).select("query_id", "doc_id", "score", "rank")
     return zero_padded(ranked, terms.join(idf, "term").select("query_id").distinct(), index.lengths.select("doc_id"), k) if pad else ranked
 
 
+def bm25_all(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 without pruning, over all documents: those that share no term have score 0 and come before negative scores."""
+    scored = bm25_scores(query_terms(queries, profile), index.postings, index.bm25_idf(None), index.average, k1, b)
+    return all_ranked(scored, queries.select("query_id").distinct(), index.lengths.select("doc_id"), k)
+
+
+def all_ranked(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k best of all documents by score, then doc_id, where documents that were not scored have 0.
+
+    Of these the first by doc_id are enough: k and as many as may have been scored among the first, which 2k bounds, as
+    either k scored documents of the first 2k come before them or k remain.
+    """
+    best = top_k(scored, k, positive=False).select("query_id", "doc_id", "score")
+    first = docs.orderBy("doc_id").limit(2 * k)
+    # scores of the first documents, low ones too, so that none of them is taken for unscored
+    held = scored.join(F.broadcast(first), "doc_id", "left_semi").select("query_id", "doc_id")
+    spare = queries.crossJoin(F.broadcast(first)).join(held, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return top_k(best.unionByName(spare), k, positive=False).select("query_id", "doc_id", "score", "rank")
+
+
 def zero_padded(ranked: DataFrame, active: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Fill rankings of active queries up to k with documents of score 0 by doc_id; k + k candidates a query suffice."""
     filler = docs.orderBy("doc_id").limit(2 * k)
@@ -56,25 +81,38 @@ def zero_padded(ranked: DataFrame, active: DataFrame, docs: DataFrame, k: int) -
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def tfidf(queries: DataFrame, index: Index, profile: Profile, k: int = 10, min_df: int = 2, max_df: float = 0.98, max_features: int | None = 100_000, sublinear: bool = True) -> DataFrame:
-    parameters = (min_df, max_df, max_features)
+def tfidf_scores(queries: DataFrame, index: Index, profile: Profile, parameters: tuple, sublinear: bool = True, named: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(query_id, doc_id, score), cosines of TF-IDF vectors, and the queries that hold a kept term."""
     idf = index.tfidf_idf(*parameters)
     asked = unit_vectors(query_terms(queries, profile).withColumnRenamed("qf", "tf"), idf, "query_id", sublinear).withColumnRenamed("w", "wq")
+    post = of_terms(index.postings, asked, named)
     # only postings of asked terms are weighed; a text's length divides its finished sum
-    sums = asked.join(weights(index.postings, idf, "doc_id", sublinear), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("sum"))
-    scored = sums.join(index.norms(*parameters, sublinear), "doc_id").select("query_id", "doc_id", (F.col("sum") / F.col("norm")).alias("score"))
-    return top_k(scored, k).select("query_id", "doc_id", "score", "rank")
+    sums = weights(post, idf, "doc_id", sublinear).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("sum"))
+    return sums.join(index.norms(*parameters, sublinear), "doc_id").select("query_id", "doc_id", (F.col("sum") / F.col("norm")).alias("score")), asked.select("query_id").distinct()
+
+
+def tfidf(queries: DataFrame, index: Index, profile: Profile, k: int = 10, min_df: int = 2, max_df: float | None = 0.98, max_features: int | None = 100_000, sublinear: bool = True, pad: bool = False, named: int = 0) -> DataFrame:
+    scored, active = tfidf_scores(queries, index, profile, (min_df, max_df, max_features), sublinear, named)
+    ranked = top_k(scored, k).select("query_id", "doc_id", "score", "rank")
+    return zero_padded(ranked, active, index.lengths.select("doc_id"), k) if pad else ranked
 
 
-def distributed_bm25(queries: DataFrame, index: Index, profile: Profile, shards: int = 4, k: int = 10, shard_top_k: int | None = None, rrf_k: int = 60, k1: float = 1.5, b: float = 0.75, max_df: float = 0.98) -> DataFrame:
+def tfidf_all(queries: DataFrame, index: Index, profile: Profile, k: int = 10, sublinear: bool = True) -> DataFrame:
+    """TF-IDF over the whole vocabulary and all documents, with or without damped counts."""
+    scored, _ = tfidf_scores(queries, index, profile, (1, None, None), sublinear)
+    return all_ranked(scored, queries.select("query_id").distinct(), index.lengths.select("doc_id"), k)
+
+
+def distributed_bm25(queries: DataFrame, index: Index, profile: Profile, shards: int = 4, k: int = 10, shard_top_k: int | None = None, rrf_k: int = 60, k1: float = 1.5, b: float = 0.75, max_df: float = 0.98, named: int = 0) -> DataFrame:
     """BM25 with each shard's own statistics, merged by reciprocal ranks; all shards in one plan."""
     deep = shard_top_k or max(10 * k, 100)
     sizes = F.broadcast(index.shard_sizes(shards).select("shard_id", "average"))  # a row for each shard, 1024 at most
-    post = index.postings.withColumn("shard_id", shard_of(F.col("doc_id"), shards))
+    terms = query_terms(queries, profile)
+    post = of_terms(index.postings, terms, named).withColumn("shard_id", shard_at(F.col("spot"), shards))
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("average")))
-    matched = query_terms(queries, profile).join(index.shard_idf(shards, max_df), "term").join(post, ["shard_id", "term"]).join(index.lengths, "doc_id")
-    scored = matched.join(sizes, "shard_id").groupBy("query_id", "shard_id", "doc_id").agg(F.sum(part).alias("score"))
+    asked = terms.join(index.shard_idf(shards, max_df), "term").join(sizes, "shard_id")
+    scored = post.join(asked, ["shard_id", "term"]).groupBy("query_id", "shard_id", "doc_id").agg(F.sum(part).alias("score"))
     local = top_k(scored, deep, within=("query_id", "shard_id")).withColumnsRenamed({"rank": "local_rank", "score": "local_score"})
     fused = local.withColumn("score", F.round(1.0 / (rrf_k + F.col("local_rank")), 8))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "local_rank", "shard_id", "doc_id")
@@ -85,9 +123,52 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Bytes of query vectors that go to every task; a larger set is dealt in blocks of so many queries.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 8192
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact inner products of queries (query_id, qv), a stated set, against all vectors (doc_id, dv); none is padded."""
-    scored = vectors.crossJoin(queries).select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score"))
+    """Exact inner products of queries (query_id, qv), a stated set, against all vectors (doc_id, dv); none is padded.
+
+    A batch of vectors meets all queries (or a block of them) in one matrix product and gives its k best a query, so what
+    is shuffled are k rows a query and task. Queries or vectors that are null or differ in length from the query take no part.
+    """
+    asked = queries.where("query_id is not null and qv is not null").select("query_id", F.col("qv").cast("array<double>").alias("qv"))
+    held = vectors.where("doc_id is not null and dv is not null").select("doc_id", F.col("dv").cast("array<double>").alias("dv"))
+    kinds = dict(asked.dtypes)["query_id"], dict(held.dtypes)["doc_id"]
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    total, width = asked.agg(F.count("*"), F.max(F.size("qv"))).first()
+    if not total:
+        return held.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    sent = None
+    if total * width * 8 <= QUERY_BYTES:
+        sent = held.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def best(table: pa.Table, asks: pa.Table) -> Iterator[pa.RecordBatch]:
+        for size in set(pc.list_value_length(asks["qv"]).unique().to_pylist()):
+            q, d = (t.filter(pc.equal(pc.list_value_length(t[c]), size)) for t, c in ((asks, "qv"), (table, "dv")))
+            if q.num_rows and d.num_rows and size:
+                left, right = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for t, c in ((q, "qv"), (d, "dv")))
+                scores = left @ right.T
+                # scores are rounded later: all that may reach the k-th place stay
+                floor = np.partition(scores, -k, axis=1)[:, -k] - 2e-6 if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                i, j = np.nonzero(scores >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([q["query_id"].take(pa.array(i)).combine_chunks(), d["doc_id"].take(pa.array(j)).combine_chunks(), pa.array(scores[i, j])], ["query_id", "doc_id", "score"])
+
+    if sent is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    yield from best(pa.Table.from_batches([batch.slice(at, 2048)]), sent.value)
+
+        scored = held.mapInArrow(run, schema)
+    else:
+        blocks = -(-total // QUERY_BLOCK)
+        parts = max(1, held.rdd.getNumPartitions())
+        left = held.withColumns({"p": F.pmod(F.xxhash64("doc_id"), F.lit(parts)), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        right = asked.withColumns({"b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))}).withColumn("p", F.col("p").cast("long"))
+        scored = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(lambda d, q: pa.Table.from_batches(list(best(d, q)), schema=pa.schema([("query_id", q.schema.field("query_id").type), ("doc_id", d.schema.field("doc_id").type), ("score", pa.float64())])), schema)
     return top_k(scored, k, positive=False).select("query_id", "doc_id", "score", "rank")
 
 
@@ -107,6 +188,15 @@ def hybrid_parallel(rankings: dict[str, DataFrame], weights: dict[str, float] |
     return merged.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank", "n_models")
 
 
-def enrich(ranking: DataFrame, docs: DataFrame, size: int = 500) -> DataFrame:
-    """Join texts to a finished ranking: ranks and scores stay, each row gets a snippet."""
-    return ranking.join(docs.select("doc_id", F.substring("text", 1, size).alias("snippet")), "doc_id", "left")
+def enrich(ranking: DataFrame, docs: DataFrame, size: int = 500, raw: bool = False, strict: bool = False) -> DataFrame:
+    """Join titles and texts to a finished ranking: ranks and scores stay, each row gets a snippet, and the text if ``raw``.
+
+    Documents that are missing give nulls, or an error if ``strict``.
+    """
+    title = [F.col("title")] if "title" in docs.columns else []
+    text = F.col("text")
+    held = docs.select("doc_id", *title, F.substring(text, 1, size).alias("snippet"), *([text.alias("raw_text")] if raw else []), F.lit(True).alias("_held"))
+    joined = ranking.join(held, "doc_id", "left")
+    if strict:
+        joined = joined.withColumn("doc_id", F.when(F.col("_held").isNull(), F.raise_error(F.concat(F.lit("no document "), F.col("doc_id").cast("string"))).cast(ranking.schema["doc_id"].dataType)).otherwise(F.col("doc_id")))
+    return joined.drop("_held")

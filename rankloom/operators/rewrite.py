@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,13 +28,34 @@ def preserved(word: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of matching blocks. No builtin equals it, so the few pairs that pass the edit distance are compared row by row."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def pieces(word: Column) -> Column:
+    """Three pieces of a word, each with its number: two edits leave at least one of them as it is, within two places of where it was."""
+    third = (F.length(word) / 3).cast("int")
+    cut = lambda at, n: word.substr(at + 1, n)
+    row = lambda n, at, size: F.struct(F.lit(n).alias("n"), cut(at, size).alias("piece"))
+    return F.array(row(0, F.lit(0), third), row(1, third, third), row(2, third * 2, F.length(word) - third * 2))
+
+
 def correction_candidates(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, term, freq, distance): same first letter, lengths within 2, edit distance 1 (up to five letters) or 2."""
+    """(word, term, freq, distance): same first letter, lengths within 2, edit distance 1 (up to five letters) or 2.
+
+    A word within two edits holds one of its three pieces unchanged, at most two places off; words and terms meet on
+    that piece, their length and first letter, so the keys are many and no letter's terms gather in one task. A term is
+    listed under every run of letters that could be such a piece: three lengths at three places, shifted by up to two.
+    """
     w = words.select(F.lower("word").alias("word")).distinct().join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    near = w.join(vocab, (F.substring("word", 1, 1) == F.substring("term", 1, 1)) & F.length("term").between(F.length("word") - 2, F.length("word") + 2))
+    asked = w.select("word", F.explode(pieces(F.col("word"))).alias("p")).select("word", F.length("word").alias("size"), F.substring("word", 1, 1).alias("head"), "p.n", "p.piece")
+    sizes = F.sequence(F.greatest(F.length("term") - 2, F.lit(1)), F.length("term") + 2)
+    wide = vocab.select("term", "freq", F.explode(sizes).alias("size")).select("term", "freq", "size", F.substring("term", 1, 1).alias("head"), (F.col("size") / 3).cast("int").alias("third"))
+    row = lambda n, at, size: F.struct(F.lit(n).alias("n"), at.alias("at"), size.alias("long"))
+    at = F.array(row(0, F.lit(0), F.col("third")), row(1, F.col("third"), F.col("third")), row(2, F.col("third") * 2, F.col("size") - F.col("third") * 2))
+    held = wide.select("term", "freq", "size", "head", F.explode(at).alias("p")).select("term", "freq", "size", "head", "p.n", "p.long", F.explode(F.sequence(F.col("p.at") - 2, F.col("p.at") + 2)).alias("start")).where("start >= 0")
+    keyed = held.withColumn("piece", F.col("term").substr(F.col("start") + 1, F.col("long"))).where(F.length("piece") == F.col("long")).select("term", "freq", "size", "head", "n", "piece").distinct()
+    near = asked.join(keyed, ["size", "head", "n", "piece"]).select("word", "term", "freq").distinct()
     return near.withColumn("distance", F.levenshtein("word", "term")).where(F.col("distance") <= F.when(F.length("word") <= 5, 1).otherwise(2))
 
 
@@ -99,6 +121,15 @@ def chosen_model(dataset: Column, query: Column) -> Column:
     return F.when(~known, "bm25").when(is_arabic(query), "embedding").when(dataset == "clinical_trials", "bm25").when((dataset == "quora") & (words <= 3), "hybrid_serial").when(dataset == "quora", "embedding").otherwise("bm25")
 
 
+def strategy(dataset: str, query: str) -> str:
+    """``chosen_model`` for one query on the driver."""
+    if dataset not in ("sample_dataset", "clinical_trials", "quora"):
+        return "bm25"
+    if re.search("[\u0600-\u06ff]", query):
+        return "embedding"
+    return {"quora": "hybrid_serial" if len(query.split()) <= 3 else "embedding"}.get(dataset, "bm25")
+
+
 def misspelled(query: Column) -> Column:
     """A copy with up to two of its words of five letters or more damaged: long ones lose a letter, others have two swapped."""
     def damage(w: Column) -> Column:
@@ -108,6 +139,6 @@ def misspelled(query: Column) -> Column:
         return F.when(F.length(w) >= 7, cut).otherwise(swap)
 
     pieces = F.split(query, " ")
-    long = F.transform(pieces, lambda w, i: F.when(w.rlike("^[A-Za-z]{5,}$"), i))
+    long = F.transform(pieces, lambda w, i: F.when(w.rlike(r"\A[A-Za-z]{5,}\z"), i))
     chosen = F.slice(F.filter(long, lambda i: i.isNotNull()), 1, 2)
     return F.array_join(F.transform(pieces, lambda w, i: F.when(F.array_contains(chosen, i), damage(w)).otherwise(w)), " ")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
             df = df.withColumn(k, F.when(text.isNull() | (text == ""), F.raise_error(F.lit(f"blank {k}")).cast(df.schema[k].dataType)).otherwise(text.cast(df.schema[k].dataType)))
         return df.withColumn("_age", F.lit(age))
 
-    last = Window.partitionBy(*keys).orderBy(F.desc("_age"))
+    # of rows of one key and age the first by content stays, so that reruns agree
+    last = Window.partitionBy(*keys).orderBy(F.desc("_age"), F.to_json(F.struct(*old.columns)))
     return clean(old, 0).unionByName(clean(new, 1)).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_age")
 
 
@@ -23,6 +27,12 @@ def first_of_id(docs: DataFrame, order: str, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
+def get(table: DataFrame, key: str, value) -> dict | None:
+    """One row by its key, or None; the key reaches the scan, so a table sorted or parted by it is read in one place."""
+    row = table.where(F.col(key) == F.lit(value)).limit(1).first()
+    return row.asDict(recursive=True) if row else None
+
+
 def fetch(docs: DataFrame, ids: list, key: str = "doc_id") -> DataFrame:
     """Rows in the order of the requested ids, repeats kept, missing ones left out; adds pos."""
     wanted = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"pos int, {key} {dict(docs.dtypes)[key]}")
@@ -47,31 +57,35 @@ def signature(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("greatest"))
 
 
-def without_dataset(table: DataFrame, dataset: str) -> DataFrame:
-    """The table after a data set's removal: its partitions are simply not kept."""
-    return table.where(F.col("dataset_key") != dataset)
+def without_dataset(tables: dict[str, DataFrame], dataset: str) -> dict[str, DataFrame]:
+    """All tables of the store after a data set's removal; in tables parted by dataset_key its partitions aren't read."""
+    return {name: t.where(F.col("dataset_key") != dataset) for name, t in tables.items()}
 
 
 def relevance_sample(queries: DataFrame, qrels: DataFrame, docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(queries, documents): queries are taken in order while the union of their relevant documents fits in ``limit``.
+    """(queries, documents): queries are taken in order, each if the union of relevant documents stays within ``limit``.
 
-    The scan is sequential, over judged pairs of at most ``limit`` documents at a time; fillers by doc_id complete it.
+    A query's new documents are those that no taken query has, so the scan hangs on its own past. It runs in one task over
+    judged pairs only, sorted by query, and keeps at most ``limit`` ids; fillers by doc_id complete the documents.
     """
-    spark, taken, kept, per, now = docs.sparkSession, set(), [], [], None
-    rows = qrels.where("relevance > 0").join(queries.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id").distinct().orderBy("query_id", "doc_id")
-
-    def close() -> None:
-        if now is not None and len(taken | set(per)) <= limit:
-            taken.update(per)
-            kept.append(now)
-
-    for r in rows.toLocalIterator():
-        if r["query_id"] != now:
-            close()
-            now, per = r["query_id"], []
-        per.append(r["doc_id"])
-    close()
-    q = spark.createDataFrame([(x,) for x in kept], f"query_id {dict(queries.dtypes)['query_id']}")
-    d = spark.createDataFrame([(x,) for x in taken], f"doc_id {dict(docs.dtypes)['doc_id']}")
-    filler = docs.join(d, "doc_id", "left_anti").orderBy("doc_id").limit(limit - len(taken))
-    return queries.join(q, "query_id", "left_semi"), docs.join(d, "doc_id", "left_semi").unionByName(filler)
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    pairs = qrels.where("relevance > 0").join(queries.select("query_id"), "query_id", "left_semi").select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("doc_id").cast(kinds[1]).alias("doc_id")).distinct()
+    lists = pairs.groupBy("query_id").agg(F.collect_set("doc_id").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set = set()
+        for batch in batches:
+            for q, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new = [d for d in sorted(own) if d not in taken]
+                if len(taken) + len(new) <= limit:
+                    taken.update(new)
+                    yield pa.RecordBatch.from_arrays([pa.array([q], batch.schema.field(0).type), pa.array([new], batch.schema.field(1).type)], ["query_id", "docs"])
+
+    # a query with more documents than the limit can't be taken: it needn't go to the task
+    small = lists.where(F.size("docs") <= limit)
+    chosen = small.repartition(1).sortWithinPartitions("query_id").mapInArrow(run, f"query_id {kinds[0]}, docs array<{kinds[1]}>")
+    held = chosen.select(F.explode("docs").alias("doc_id"))
+    relevant = docs.join(held, "doc_id", "left_semi")
+    room = limit - held.count()
+    filler = docs.join(held, "doc_id", "left_anti").orderBy("doc_id").limit(room)
+    return queries.join(chosen, "query_id", "left_semi"), relevant.unionByName(filler)
