@@ -49,22 +49,9 @@ def profile_of(dataset: str | None) -> Profile:
     return PROFILES.get((dataset or "").strip().lower() or "sample_dataset", Profile())
 
 
-def _touched() -> str:
-    """A character class of what repair may change: compatibility forms, combining marks, controls, marks of broken UTF-8, "&"."""
-    found = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.combining(chr(c)))]
-    found += [ord("&"), *range(9), 11, *range(14, 32), *range(0x7F, 0xA0), 0xC2, 0xC3, 0xE2, 0xF0, 0xFEFF, 0xFFFD]
-    parts, low = [], None
-    for c in sorted(set(found)):
-        if low is None or c != high + 1:
-            if low is not None:
-                parts.append((low, high))
-            low = c
-        high = c
-    parts.append((low, high))
-    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in parts) + "\\x{10000}-\\x{10ffff}]"
-
-
-TOUCHED = _touched()
+#: What repair may change: anything but these ranges of plain letters, digits and signs; few ranges, as each is tried for each
+#: character. "&" and the letters that broken UTF-8 begins with are not among them.
+TOUCHED = r"[^\t\n\r -%'-~\u00a1-\u00a7\u00a9\u00ab\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00c1\u00c4-\u00e1\u00e3-\u00ef\u00f1-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03c9\u0400-\u045f\u2013\u2014\u2018-\u201e\u20ac]"
 _BROKEN = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
 _CONTROLS = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\ufeff\ufffd]")
 

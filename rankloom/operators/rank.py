@@ -54,18 +54,21 @@ def bm25(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: fl
 
 def bm25_all(queries: DataFrame, index: Index, profile: Profile, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 without pruning, over all documents: those that share no term have score 0 and come before negative scores."""
-    scored = bm25_scores(query_terms(queries, profile), index.postings, index.bm25_idf(None), index.average, k1, b)
-    return all_ranked(scored, queries.select("query_id").distinct(), index.lengths.select("doc_id"), k)
+    idf = index.bm25_idf(None)
+    scored = bm25_scores(query_terms(queries, profile), index.postings, idf, index.average, k1, b)
+    negative = (idf.agg(F.min("idf")).first()[0] or 0) < 0
+    return all_ranked(scored, queries.select("query_id").distinct(), index.lengths.select("doc_id"), k, negative)
 
 
-def all_ranked(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def all_ranked(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, negative: bool = False) -> DataFrame:
     """The k best of all documents by score, then doc_id, where documents that were not scored have 0.
 
-    Of these the first by doc_id are enough: k and as many as may have been scored among the first, which 2k bounds, as
-    either k scored documents of the first 2k come before them or k remain.
+    Of these the first by doc_id are enough: of the first 2k and as many as have negative scores, either k have positive
+    scores and come before them, or k were not scored. Negative scores are rare, as they need a mean idf below 0.
     """
     best = top_k(scored, k, positive=False).select("query_id", "doc_id", "score")
-    first = docs.orderBy("doc_id").limit(2 * k)
+    below = scored.where("score < 0").groupBy("query_id").count().agg(F.max("count")).first()[0] if negative else 0
+    first = docs.orderBy("doc_id").limit(2 * k + (below or 0))
     # scores of the first documents, low ones too, so that none of them is taken for unscored
     held = scored.join(F.broadcast(first), "doc_id", "left_semi").select("query_id", "doc_id")
     spare = queries.crossJoin(F.broadcast(first)).join(held, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))

@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +42,18 @@ def test_agent(spark):
     rows = [("quora", "short one"), ("quora", "a longer question than that"), ("clinical_trials", "x"), ("other", "x"), ("quora", "ما هو")]
     df = spark.createDataFrame(rows, "d string, q string").select(rewrite.chosen_model(F.col("d"), F.col("q")))
     assert [r[0] for r in df.collect()] == ["hybrid_serial", "embedding", "bm25", "bm25", "embedding"]
+
+
+def test_texts_that_repair_leaves_alone_stay_in_the_jvm():
+    """Whatever the pattern doesn't match is its own compatibility form, alone and in any order."""
+    plain = re.compile(T.TOUCHED)
+    rest = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not plain.match(chr(c))]
+    assert len(rest) > 400 and all(not unicodedata.combining(c) for c in rest)
+    assert T.repair("".join(rest)) == "".join(rest) and T.repair("".join(reversed(rest))) == "".join(reversed(rest))
+
+
+def test_repair(spark):
+    texts = ["cafÃ© â€œquotedâ€\x9d", "ﬁne Ｆｕｌｌ １２", "a &amp; b", "a < b &amp; c", "é", "plain Ünï", None, "", "x\x00y﻿"]
+    want = ["café “quoted”", "fine Full 12", "a & b", "a < b &amp; c", "é", "plain Ünï", None, "", "xy"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.repaired(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == want
