@@ -2,7 +2,9 @@
 
 A character trigram model is counted over all texts. Words that look disguised (leetspeak, letters set apart, letters
 repeated) become lattices of the characters that they may stand for, and Viterbi decoding under the model restores
-them. The restored words are scored by a list learned from labels: words and beginnings of words that occur in toxic
+them, in time linear in their length and without a limit to it. Each masking sign may hide a letter, but LONGEST_MASK
+equal ones or more are a rule or a gap and hide nothing. Letters set apart may be several words: a boundary may stand
+at each gap. The restored words are scored by a list learned from labels: words and beginnings of words that occur in toxic
 texts far beyond their share, each with its log odds. A word counts once a text, by its best entry; the sum, its share of
 the words, the best entry and the text's length go into a logistic fit.
 
@@ -43,8 +45,18 @@ SIZE = len(LETTERS) + 1
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "¡": "i", "£": "l"}
 _MASKS = frozenset("*#_?.-")
 _EDGES = "\"'`´‘’“”„«».,;:?!()[]{}<>*#$%&@|+-_=~/\\"
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_\-][^\W\d_]){3,}(?![^\W_])")
+#: Signs that stand for letters, digits left out.
+_SIGNS = frozenset(c for c in LEET if not c.isdigit())
+_PLAIN_EDGES = "".join(c for c in _EDGES if c not in LEET)
+LONGEST_MASK = 5
+#: Words up to this length are remembered once decoded.
+REMEMBERED = 64
+_PARTS = re.compile(r"[^\w@$!|+€*#?(<£¡-]+")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .*_\-]{1,3}(?:[^\W_]|[@$!])){3,}(?![^\W_])")
+_GAP = re.compile(r"[ .*_\-]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_RUNS = re.compile(r"([^*#_?.\-])\1{3,}")
+_PLACE = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": 0}
 _CODE = np.zeros(0x250, np.int64)
 for _i, _c in enumerate(LETTERS):
     _CODE[ord(_c)] = _i + 1
@@ -102,7 +114,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             for k in range(min(n, 2)):
                 out.append([(x, -0.2) for x in LEET[c]] + ([("", -0.7)] if k or n > 2 else [("", -6.0)]))
         elif c in _MASKS:
-            out.append([("", -0.5)] + [(x, -4.0) for x in LETTERS[:26]])
+            hidden = [(x, -4.0) for x in LETTERS[:26]] if n < LONGEST_MASK else []
+            out += [[("", -0.5), *hidden]] * (n if hidden else 1)
         else:
             out.append([("", -2.0)])
         at = run
@@ -110,21 +123,28 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The likeliest letters through the lattice, from boundary to boundary."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest letters through the lattice, from boundary to boundary; a " " within is a boundary too."""
+    states, trail = {(0, 0): 0.0}, []
     for options in [*places, [(" ", 0.0)]]:
         new: dict = {}
-        for (a, b), (odds, made) in states.items():
+        back: dict = {}
+        for own, odds in states.items():
+            a, b = own
             for letter, cost in options:
-                if letter == "":
-                    key, total, text = (a, b), odds + cost, made
+                if letter:
+                    c = _PLACE[letter]
+                    key, total = (b, c), odds + cost + float(model[a, b, c])
                 else:
-                    c = LETTERS.index(letter) + 1 if letter != " " else 0
-                    key, total, text = (b, c), odds + cost + float(model[a, b, c]), made + letter
-                if key not in new or total > new[key][0]:
-                    new[key] = (total, text)
-        states = dict(sorted(new.items(), key=lambda s: -s[1][0])[:64])
-    return max(states.values())[1].strip()
+                    key, total = own, odds + cost
+                if key not in new or total > new[key]:
+                    new[key], back[key] = total, (own, letter)
+        states = new
+        trail.append(back)
+    at, made = max(states, key=states.get), []
+    for back in reversed(trail):
+        at, letter = back[at]
+        made.append(letter)
+    return "".join(reversed(made)).strip()
 
 
 class Restorer:
@@ -132,26 +152,45 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.decode = functools.lru_cache(100_000)(lambda word: viterbi(lattice(word), model))
+        self.known = functools.lru_cache(100_000)(lambda word: viterbi(lattice(word), model))
+
+    def decode(self, word: str) -> str:
+        word = _RUNS.sub(r"\1\1\1", word)  # the lattice of a longer run is the same
+        return self.known(word) if len(word) <= REMEMBERED else viterbi(lattice(word), self.model)
+
+    def apart(self, letters: list[str]) -> list[str]:
+        """The words of letters set apart."""
+        places = lattice(letters[0])
+        for c in letters[1:]:
+            places += [[("", 0.0), (" ", -1.0)], *lattice(c)]
+        return viterbi(places, self.model).split()
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = {w.strip(_EDGES) for w in set(low.split())}
-        odd = [w for w in out if not w.isalpha() and 3 <= len(w) <= 32]
+        out, odd = set(), set()
+        for w in set(low.split()):
+            part = w.strip(_PLAIN_EDGES)
+            if part.isalpha():
+                out.add(part)
+                continue
+            inner = part.strip(_EDGES)
+            out.add(inner)
+            odd.update(x for x in (part, inner) if len(x) >= 3 and not x.isalpha())
         for w in odd:
-            parts = [p for p in re.split(r"[^\w@$!|+€*#?(<£¡-]+", w) if p]
+            parts = [p for p in _PARTS.split(w) if p]
             out.update(p for p in parts if p.isalpha())
             for p in parts:
-                if not p.isalpha() and (letters := sum(c.isalpha() for c in p)) >= 2 and 3 * letters >= len(p):
+                letters = sum(c.isalpha() for c in p)
+                if letters < len(p) and 3 * letters >= len(p) and (letters >= 2 or not _SIGNS.isdisjoint(p)):
                     out.add(self.decode(p))
         if _TRIPLE.search(low):
-            for w in [w for w in out if len(w) <= 48 and _TRIPLE.search(w)]:
+            for w in [w for w in out if _TRIPLE.search(w)]:
                 out.add(self.decode(w))
         for m in _SPACED.finditer(low):
-            joined = re.sub(r"[ .*_\-]", "", m[0])
-            if len(joined) <= 48:
-                out.add(joined)
-                out.add(self.decode(joined))
+            letters = _GAP.split(m[0])
+            if 2 * sum(c.isalpha() for c in letters) >= len(letters):
+                joined = "".join(letters)
+                out.update((joined, self.decode(joined), *self.apart(letters)))
         out.discard("")
         return out
 
