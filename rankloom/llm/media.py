@@ -3,7 +3,8 @@
 Images are uint8 arrays of shape (height, width) or (height, width, 3). A tile is the image shrunk (or stretched) by
 exact area averaging, computed on an integral image that is interpolated at fractional cuts.
 
-Defined edge cases: null or undecodable bytes give null features (``decode`` itself raises ValueError); a null text
+Defined edge cases: null or undecodable bytes give null features (``decode`` itself raises ValueError), and so do images
+without pixels and samples above their maximum value; a null text
 stores as the empty text, whose payload is 64 zero bytes; repeated rows give repeated, equal results; an empty table
 gives an empty result; further columns of the input are not carried.
 """
@@ -13,11 +14,13 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rankloom.llm.common import map_slices, materialise
 
@@ -35,6 +38,20 @@ def encode_pgm(payload: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, height) + payload
 
 
+def encode_bmp(payload: bytes, width: int = WIDTH) -> bytes:
+    """Bytes as an uncompressed 8-bit bitmap with a grey palette, top-down; the width must be a multiple of 4."""
+    height, rest = divmod(len(payload), width)
+    if rest or not height or width % 4:
+        raise ValueError("payload is no positive multiple of the width")
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4) * np.array([1, 1, 1, 0], np.uint8)
+    start = 54 + palette.nbytes
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + len(payload), 0, 0, start, 40, width, -height, 1, 8, 0, len(payload), 0, 0, 256, 0)
+    return head + palette.tobytes() + payload
+
+
+ENCODERS = {"pgm": encode_pgm, "bmp": encode_bmp}
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6, plain and raw; samples of other depths are scaled to 8 bits, bitmap ink (1) is black."""
     head = _HEADER.match(data)
@@ -49,11 +66,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at, top = depth.end(), int(depth[1])
         if not 0 < top < 65536:
             raise ValueError("maximum value out of range")
+    if not width or not height:
+        raise ValueError("no pixels")
     bands = 3 if kind in (b"P3", b"P6") else 1
     count = width * height * bands
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\r\n]*", b" ", data[at:])
-        samples = np.array([int(x) for x in (re.findall(rb"[01]", body) if kind == b"P1" else body.split())[:count]], dtype=np.int64)
+        found = re.findall(rb"[01]", body) if kind == b"P1" else body.split(None, count)[:count]
+        if any(len(x) > 9 or not x.isdigit() for x in found):
+            raise ValueError("samples out of range")
+        samples = np.array(found, "S9").astype(np.int64)
     elif kind == b"P4":
         stride = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)[: stride * height]
@@ -67,6 +89,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, wide, count, at + 1)
     if samples.size < count:
         raise ValueError("truncated samples")
+    if samples.max() > top:
+        raise ValueError("samples out of range")
     if kind in (b"P1", b"P4"):
         samples = (1 - samples) * 255
     elif top != 255:
@@ -172,26 +196,24 @@ def media_tiles(df: DataFrame, media: str = "media", key: str = "doc_id", side:
     return map_slices(df, [key, media], f"{key} {dict(df.dtypes)[key]}, tile_npy binary, dhash string", run)
 
 
-def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a grey map 64 wide."""
+def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
+    """(key, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a grey image 64 wide."""
+    encode = ENCODERS[form]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, media = [], []
         for x in batch.column(1).to_pylist():
             raw = (x or "").encode()
             sizes.append(len(raw))
-            media.append(encode_pgm(raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b"\0")))
+            media.append(encode(raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b"\0")))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
     return map_slices(df, [key, text], f"{key} {dict(df.dtypes)[key]}, n_bytes long, media binary", run)
 
 
 def media_digest(df: DataFrame, key: str = "doc_id", side: int = 32) -> DataFrame:
-    """Digests of a stored media table of ``texts_as_media``, all computed from the bytes that were read back.
-
-    ``feature`` is the difference hash, a colon, and the CRC-32 of the NPY tile in hex.
-    """
-    schema = f"{key} {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Digests, difference hash and NPY tile of a stored media table of ``texts_as_media``, all from the bytes that were read back."""
+    schema = f"{key} {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile_npy binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -199,14 +221,17 @@ def media_digest(df: DataFrame, key: str = "doc_id", side: int = 32) -> DataFram
             image = decode(data)
             payload = image.tobytes()
             tile = write_npy(to_uint8(area_resize(image, side, side)))
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(tile):08x}"))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), tile))
         own = list(zip(*rows))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(own, kinds))], [x.split()[0] for x in schema.split(", ")])
 
     return map_slices(df, [key, "n_bytes", "media"], schema, run)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """The images and then their NPY tiles are stored; ``feature`` is the difference hash, a colon, and the CRC-32 of the stored tile in hex."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_digest(materialise(texts_as_media(docs), "media"))
+    tiles = materialise(media_digest(materialise(texts_as_media(docs), "media")), "tiles")
+    feature = F.concat_ws(":", "dhash", F.lower(F.lpad(F.hex(F.crc32("tile_npy")), 8, "0")))
+    return tiles.withColumn("feature", feature).drop("dhash", "tile_npy")
