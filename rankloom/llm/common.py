@@ -11,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside a Python worker; Arrow batches from Spark are cut to this.
-SLICE_ROWS = 512
+#: Rows and bytes handled at once inside a Python worker; Arrow batches from Spark are cut to this, a larger row comes alone.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Rows of a table of a few numbers that may be broadcast.
+MOST_SENT = 1 << 21
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder every executor can see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder every executor can see: spark.checkpoint.dir; in local mode (tests) one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         base = f"file://{tempfile.gettempdir()}/rankloom-work"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,6 +42,22 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, for a broadcast if it has at most MOST_SENT rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch within SLICE_ROWS and, but for single rows, SLICE_BYTES."""
+    at = 0
+    while at < batch.num_rows:
+        rows = SLICE_ROWS
+        while rows > 1 and batch.slice(at, rows).nbytes > SLICE_BYTES:
+            rows //= 2
+        yield batch.slice(at, rows)
+        at += rows
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -45,12 +65,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_slices(
     df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table] | pa.RecordBatch | None]
 ) -> DataFrame:
-    """mapInArrow over only the named columns, in slices of at most SLICE_ROWS rows, so that memory stays bounded."""
+    """mapInArrow over only the named columns, in slices of bounded rows and bytes, so that memory stays bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(at, SLICE_ROWS))
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 

@@ -7,7 +7,7 @@ holds bit p, or byte p, of every id; a plane stores its part of every block, one
 
 A chunk holds whole documents, so a document can be read from its chunk alone; a chunk closes once it holds the wanted
 number of ids. Chunks are rows of a Parquet data set, which gives atomic, retryable writes on any file system; the
-chunk index (shard, chunk, documents, start and number of ids of each) is stored beside the payload and can be read
+chunk index (shard, chunk, ids before it in the shard, documents, start and number of ids of each) is stored beside the payload and can be read
 without it. Shards are contiguous ranges of doc_id in ascending order.
 
 Defined edge cases: a null text encodes like the empty one, to the end id alone; null doc_ids come first; repeated
@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from rankloom.llm.common import SLICE_ROWS, materialise
+from rankloom.llm.common import materialise, slices
 
 MODEL = "word_bpe_49k.json"
 END_ID = 1
@@ -139,7 +139,7 @@ def coder(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-INDEX = "shard int, chunk int, doc_ids array<long>, starts array<long>, counts array<long>, n_ids long"
+INDEX = "shard int, chunk int, before long, doc_ids array<long>, starts array<long>, counts array<long>, n_ids long"
 
 
 def write_token_store(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID, planes: str = "byte", chunk_ids: int = CHUNK_IDS, tag: str = "tokens") -> DataFrame:
@@ -149,18 +149,17 @@ def write_token_store(df: DataFrame, path: str | None = None, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = coder(path), TaskContext.get().partitionId()
-        number, keys, counts, parts, size = 0, [], [], [], 0
+        number, before, keys, counts, parts, size = 0, 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
             starts = np.cumsum([0, *counts[:-1]])
             payload = pack(np.frombuffer(b"".join(parts), "<u4"), planes)
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            row = [shard, number, keys, starts.tolist(), counts, size, payload]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            row = [shard, number, before, keys, starts.tolist(), counts, size, payload]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [*(x.split()[0] for x in INDEX.split(", ")), "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     raw = own.encode(x or "") + end
                     keys.append(k)
@@ -169,7 +168,7 @@ def write_token_store(df: DataFrame, path: str | None = None, key: str = "doc_id
                     size += len(raw) // 4
                     if size >= chunk_ids:
                         yield close()
-                        number, keys, counts, parts, size = number + 1, [], [], [], 0
+                        number, before, keys, counts, parts, size = number + 1, before + size, [], [], [], 0
         if keys:
             yield close()
 
@@ -181,8 +180,9 @@ def write_token_store(df: DataFrame, path: str | None = None, key: str = "doc_id
 def read_token_store(store: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document, read back from the stored chunks: doc_id, start, n_tokens, ids_crc32[, ids].
 
-    start counts the ids of all documents before it. It needs the number of ids of each chunk only, which come from the
-    chunk index: one row a shard reaches the driver, and there are as many shards as partitions of the writing job.
+    start counts the ids of all documents before it. A chunk knows the ids before it in its shard; the number of ids of
+    each shard comes from the chunk index: one row a shard reaches the driver and goes back to the executors, and there
+    are as many shards as partitions of the writing job. The payload is read where it lies.
     """
     before, shards = 0, {}
     totals = store.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
@@ -190,10 +190,6 @@ def read_token_store(store: DataFrame, with_ids: bool = False) -> DataFrame:
         shards[row["shard"]] = before
         before += row["n"]
     bases = store.sparkSession.createDataFrame([(int(k), int(v)) for k, v in shards.items()], "shard int, base long")
-    chunks = store.select("shard", "chunk", "n_ids")
-    # the window runs over the index rows of one shard, which one task has written
-    own = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    places = chunks.withColumn("within", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(bases, "shard").select("shard", "chunk", (F.col("base") + F.col("within")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +202,7 @@ def read_token_store(store: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.array([x.tolist() for x in cuts], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    joined = store.join(places, ["shard", "chunk"]).select("doc_ids", "starts", "counts", "payload", "first")
+    joined = store.join(F.broadcast(bases), "shard").select("doc_ids", "starts", "counts", "payload", (F.col("base") + F.col("before")).alias("first"))
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
