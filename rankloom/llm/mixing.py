@@ -6,11 +6,13 @@ votes / (2 seats + 1). A shard turns its integer quota into whole passes over it
 the blocks with the lowest seeded hash. The cut-off comes from a histogram of hashes, so no block is sorted or
 collected, and a document knows from its own blocks alone what the mix takes of it.
 
-Everything runs on DataFrame functions. To the driver come the totals of each source and shard: sources x SHARDS rows.
+Everything runs on DataFrame functions. To the driver come the totals of each source and shard, sources x SHARDS rows,
+as the seats are dealt there: sources are a catalogue, not hosts. They go back by broadcast up to MOST_SENT rows.
 
 Defined edge cases: a null text has size 0 and nothing of it is taken; a null source is a source of its own, the last;
 a null doc_id hashes as null; repeated rows are taken alike; ties of hashes are taken or left together; sources
-without words have target 0; an empty table gives an empty result; further columns are not carried by ``mix``.
+without words have target 0; an empty table gives an empty result; further columns are not carried by ``mix``, and all
+are kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ MOST = 2.0
 BLOCK = 64
 SHARDS = 16
 BINS = 4096
+MOST_SENT = 1 << 16
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,14 +87,23 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, passes, cutoff) for a stored table of ``sized``.
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    """The table, for a broadcast if it has at most MOST_SENT rows; else Spark joins it by shuffle."""
+    return F.broadcast(table) if rows <= MOST_SENT else table
+
+
+_SHARD = f"cast(pmod(xxhash64({{seed}}L, doc_id), {SHARDS}) as int)"
+_CHOSEN = f"filter(sequence(0L, ({{size}} - 1) div {BLOCK}), b -> pmod(xxhash64(doc_id, b, {{seed}}L), {BINS}) < {{cutoff}})"
 
-    taken is passes * size plus the words of the blocks of BLOCK words whose hash lies below cutoff.
+
+def plan(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(source, shard, source_size, target, passes, cutoff) for a stored table of ``sized``, ready to be joined.
+
+    A document of a shard is taken ``passes`` times whole, and its blocks of BLOCK words whose hash lies below cutoff
+    once more.
     """
     spark = sizes.sparkSession
-    shard = F.expr(f"pmod(xxhash64({seed + 1}L, doc_id), {SHARDS})").cast("int")
-    own = sizes.withColumn("shard", shard)
+    own = sizes.withColumn("shard", F.expr(_SHARD.format(seed=seed + 1)))
     words = {(r["source"], r["shard"]): r["n"] for r in own.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()}
     by_source: dict = {}
     for (s, _), n in words.items():
@@ -99,29 +111,36 @@ def mix(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most
     goal = targets(by_source, weights, budget, most)
     order = sorted(by_source, key=lambda s: (s is None, s or ""))
     blocks = sainte_lague({s: goal[s] for s in order}, round(sum(goal.values()) / BLOCK))
-    plan = []
+    rows = []
     for s in order:
         shards = {k: words[s, k] for k in range(SHARDS) if (s, k) in words}
         quota = sainte_lague(shards, blocks[s])
         for k, n in shards.items():
             want = min(quota[k] * BLOCK, int(most * n))
-            plan.append((s, k, by_source[s], float(goal[s]), want // n if n else 0, want % n if n else 0))
-    # one row for each source and shard, as collected above
-    table = spark.createDataFrame(plan, "source string, shard int, source_size long, target double, passes long, rest long")
+            rows.append((s, k, by_source[s], float(goal[s]), want // n if n else 0, want % n if n else 0))
+    table = spark.createDataFrame(rows, "source string, shard int, source_size long, target double, passes long, rest long")
     pieces = own.where("size > 0").withColumn("b", F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK})")))
     bins = pieces.groupBy("source", "shard", _block_hash(seed).alias("bin")).agg(F.sum(F.expr(f"least({BLOCK}, size - b * {BLOCK})")).alias("n"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["shard"] == b["shard"])
     # at most BINS rows for each source and shard: the running sum stands where it is nearest to the rest
     run = Window.partitionBy("source", "shard").orderBy("bin")
     summed = bins.withColumn("upto", F.sum("n").over(run))
-    near = summed.join(F.broadcast(table), same(summed, table)).select(summed["source"], summed["shard"], "bin", F.abs(F.col("upto") - F.col("rest")).alias("off"), "rest")
+    near = summed.join(_sent(table, len(rows)), same(summed, table)).select(summed["source"], summed["shard"], "bin", F.abs(F.col("upto") - F.col("rest")).alias("off"), "rest")
     cut = near.groupBy("source", "shard").agg(F.min(F.struct("off", "bin")).alias("best"), F.first("rest").alias("rest")).select("source", "shard", F.when(F.col("best.off") <= F.col("rest"), F.col("best.bin") + 1).otherwise(0).alias("cutoff"))
-    table = table.join(cut, same(table, cut), "left").select(table["source"], table["shard"], "source_size", "target", "passes", F.coalesce("cutoff", F.lit(0)).cast("long").alias("cutoff"))
-    full = own.join(F.broadcast(table), same(own, table), "left").select(own["doc_id"], own["source"], "size", "source_size", "target", "passes", "cutoff")
-    part = F.expr(
-        f"case when size > 0 and cutoff > 0 then aggregate(sequence(0L, (size - 1) div {BLOCK}), 0L, "
-        f"(a, b) -> a + if(pmod(xxhash64(doc_id, b, {seed}L), {BINS}) < cutoff, least({BLOCK}, size - b * {BLOCK}), 0L)) else 0L end"
-    )
+    full = table.join(cut, same(table, cut), "left").select(table["source"], table["shard"], "source_size", "target", "passes", F.coalesce("cutoff", F.lit(0)).cast("long").alias("cutoff"))
+    return _sent(full, len(rows))
+
+
+def mix(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, passes, cutoff) for a stored table of ``sized``.
+
+    taken is passes * size plus the words of the document's chosen blocks.
+    """
+    own, table = sizes.withColumn("shard", F.expr(_SHARD.format(seed=seed + 1))), plan(sizes, weights, budget, most, seed)
+    on = own["source"].eqNullSafe(table["source"]) & (own["shard"] == table["shard"])
+    full = own.join(table, on, "left").select(own["doc_id"], own["source"], "size", "source_size", "target", "passes", "cutoff")
+    chosen = _CHOSEN.format(size="size", seed=seed, cutoff="cutoff")
+    part = F.expr(f"case when size > 0 and cutoff > 0 then aggregate({chosen}, 0L, (a, b) -> a + least({BLOCK}, size - b * {BLOCK})) else 0L end")
     return full.withColumn("taken", F.col("passes") * F.col("size") + part)
 
 
@@ -131,26 +150,32 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed documents: a row for each whole pass over a document, and one with its chosen blocks, white space kept."""
-    planned = mix(materialise(sized(docs), "sizes"), seed=seed).where("taken > 0").select("doc_id", "source", "size", "passes", "cutoff").distinct()
-    chosen = F.expr(f"filter(sequence(0L, (size - 1) div {BLOCK}), b -> pmod(xxhash64(doc_id, b, {seed}L), {BINS}) < cutoff)")
-    planned = planned.withColumn("blocks", chosen)
-    full = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    on = full["doc_id"].eqNullSafe(planned["doc_id"]) & full["source"].eqNullSafe(planned["source"]) & (full["size"] == planned["size"])
-    joined = full.join(planned, on).select(full["doc_id"], "text", "lang", full["source"], planned["passes"], "blocks")
-    word = re.compile(WORD)
+    """The mixed documents, all columns: a row for each whole pass over a document, and one with its chosen blocks.
+
+    White space of the chosen blocks is kept; n_chars, if there is one, follows the text. Only the plan's small table
+    meets the documents, whose texts stay where they are.
+    """
+    names, kinds = docs.columns, dict(docs.dtypes)
+    table = plan(materialise(sized(docs), "sizes"), seed=seed).withColumnsRenamed({c: f"_mix_{c}" for c in ("source", "shard", "source_size", "target", "passes", "cutoff")})
+    own = docs.withColumns({"_mix_own": F.expr(_SHARD.format(seed=seed + 1)), "_mix_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")}).where("_mix_size > 0")
+    joined = own.join(table, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_shard")))
+    picked = joined.withColumn("_mix_blocks", F.when(F.col("_mix_cutoff") > 0, F.expr(_CHOSEN.format(size="_mix_size", seed=seed, cutoff="_mix_cutoff"))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    word, at = re.compile(WORD), names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for doc_id, text, lang, source, passes, blocks in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            rows += [(doc_id, text, lang, source, len(text))] * passes
+        rows: list[int] = []
+        texts: list[str] = []
+        for i, (text, passes, blocks) in enumerate(zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1)))):
+            rows += [i] * passes
+            texts += [text] * passes
             if blocks:
                 starts = [m.start() for m in word.finditer(text)][::BLOCK]
                 cuts = [*starts, len(text)]
-                part = "".join(text[cuts[b] : cuts[b + 1]] for b in blocks)
-                rows.append((doc_id, part, lang, source, len(part)))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["doc_id", "text", "lang", "source", "n_chars"])
-
-    return map_slices(joined, ["doc_id", "text", "lang", "source", "passes", "blocks"], "doc_id long, text string, lang string, source string, n_chars long", run)
+                rows.append(i)
+                texts.append("".join(text[cuts[b] : cuts[b + 1]] for b in blocks))
+        pick = pa.array(rows, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k).take(pick) for k in range(len(names))], names)
+
+    kept = picked.where((F.col("_mix_passes") > 0) | (F.size("_mix_blocks") > 0))
+    out = map_slices(kept, [*names, "_mix_passes", "_mix_blocks"], ", ".join(f"`{c}` {kinds[c]}" for c in names), run)
+    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
