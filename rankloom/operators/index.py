@@ -173,3 +173,13 @@ class Index:
         """One row: numbers of texts, terms and postings, and the mean length."""
         sizes = self.terms.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"))
         return sizes.select(F.lit(self.total).cast("long").alias("n_docs"), "n_terms", "n_postings", F.lit(round(self.average, 6)).alias("average_length"))
+
+    def information(self, vectors: DataFrame | None = None, shards: int = 4) -> DataFrame:
+        """(model, documents, terms, width) of each model of the corpus: what it can find, and by how many terms or numbers."""
+        one = self.terms.agg(F.lit("bm25").alias("model"), F.lit(self.total).cast("long").alias("documents"), F.count("*").alias("terms"), F.lit(None).cast("int").alias("width"))
+        two = self.tfidf_idf().agg(F.lit("tfidf").alias("model"), F.lit(self.total).cast("long").alias("documents"), F.count("*").alias("terms"), F.lit(None).cast("int").alias("width"))
+        three = self.shard_idf(shards).agg(F.lit("distributed_bm25").alias("model"), F.lit(self.total).cast("long").alias("documents"), F.countDistinct("term").alias("terms"), F.lit(None).cast("int").alias("width"))
+        rows = one.unionByName(two).unionByName(three)
+        if vectors is None:
+            return rows
+        return rows.unionByName(vectors.where("dv is not null").agg(F.lit("embedding").alias("model"), F.count("*").alias("documents"), F.lit(None).cast("long").alias("terms"), F.max(F.size("dv")).alias("width")))

@@ -126,6 +126,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def shard_details(ranking: DataFrame, index: Index, shards: int) -> DataFrame:
+    """(shard_id, documents, average_length, results, best_local_rank) of a distributed ranking; shards without results are there too."""
+    held = ranking.groupBy("shard_id").agg(F.count("*").alias("results"), F.min("local_rank").alias("best_local_rank"))
+    return index.shard_sizes(shards).join(held, "shard_id", "left").select("shard_id", F.col("n").alias("documents"), F.round("average", 6).alias("average_length"), F.coalesce("results", F.lit(0)).alias("results"), "best_local_rank")
+
+
 #: Bytes of query vectors that go to every task; a larger set is dealt in blocks of so many queries.
 QUERY_BYTES, QUERY_BLOCK = 64 << 20, 8192
 
@@ -168,7 +174,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         scored = held.mapInArrow(run, schema)
     else:
         blocks = -(-total // QUERY_BLOCK)
-        parts = max(1, held.rdd.getNumPartitions())
+        parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         left = held.withColumns({"p": F.pmod(F.xxhash64("doc_id"), F.lit(parts)), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
         right = asked.withColumns({"b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "p": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))}).withColumn("p", F.col("p").cast("long"))
         scored = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(lambda d, q: pa.Table.from_batches(list(best(d, q)), schema=pa.schema([("query_id", q.schema.field("query_id").type), ("doc_id", d.schema.field("doc_id").type), ("score", pa.float64())])), schema)

@@ -202,7 +202,7 @@ def shard_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(index.shard_of(F.col("doc_id"), 4).alias("shard_id")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_BASE},
+_SHARDS = f"""WITH {_BASE},
 sdl AS (SELECT doc_id, dl, {_SHARD} AS shard_id FROM dl), size AS (SELECT shard_id, count(*) AS n, avg(dl) AS average FROM sdl GROUP BY 1),
 sp AS (SELECT term, post.doc_id, tf, dl, shard_id FROM post JOIN sdl USING (doc_id)),
 sdf AS (SELECT shard_id, term, count(*) AS df FROM sp GROUP BY ALL),
@@ -211,12 +211,27 @@ sidf AS (SELECT shard_id, term, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS
 loc AS (SELECT query_id, shard_id, doc_id, round(sum(qf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / average))), 6) AS local_score
   FROM terms JOIN sidf USING (term) JOIN sp USING (shard_id, term) JOIN size USING (shard_id) GROUP BY ALL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, shard_id ORDER BY local_score DESC, doc_id) AS INT) AS local_rank FROM loc WHERE local_score > 0),
-fused AS (SELECT *, round(1.0 / (60 + local_rank), 8) AS score FROM ranked WHERE local_rank <= 100)
-SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, rank, shard_id, local_rank, local_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, local_rank, shard_id, doc_id) AS INT) AS rank FROM fused) WHERE rank <= 10""")
+fused AS (SELECT *, round(1.0 / (60 + local_rank), 8) AS score FROM ranked WHERE local_rank <= 100)"""
+_FUSED = "SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, rank, shard_id, local_rank, local_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, local_rank, shard_id, doc_id) AS INT) AS rank FROM fused) WHERE rank <= 10"
+
+
+@query(f"{_SHARDS} {_FUSED}")
 def distributed_bm25_search(spark, sf_dir):
     return rank.distributed_bm25(asked(spark, sf_dir), corpus_index(spark, sf_dir), PROFILE)
 
 
+@query(f"{_SHARDS}, top AS (SELECT * FROM ({_FUSED})), held AS (SELECT shard_id, count(*) AS results, min(local_rank) AS best_local_rank FROM top GROUP BY 1) SELECT s.shard_id, n AS documents, round(average, 6) AS average_length, coalesce(results, 0) AS results, best_local_rank FROM size s LEFT JOIN held h ON h.shard_id = s.shard_id")
+def shard_details(spark, sf_dir):
+    return rank.shard_details(distributed_bm25_search(spark, sf_dir), corpus_index(spark, sf_dir), 4)
+
+
+@query(f"""WITH {_BASE}{_TFIDF}, sterms AS (SELECT DISTINCT term FROM (SELECT shard_id, term, count(*) AS df FROM post JOIN (SELECT doc_id, {_SHARD} AS shard_id FROM documents) USING (doc_id) GROUP BY ALL) JOIN (SELECT {_SHARD} AS shard_id, count(*) AS n FROM documents GROUP BY 1) USING (shard_id) WHERE df <= greatest(1, floor(0.98 * n)))
+SELECT 'bm25' AS model, (SELECT n FROM stat) AS documents, (SELECT count(DISTINCT term) FROM post) AS terms, NULL::INT AS width UNION ALL SELECT 'tfidf', (SELECT n FROM stat), (SELECT count(*) FROM tv), NULL
+UNION ALL SELECT 'distributed_bm25', (SELECT n FROM stat), (SELECT count(*) FROM sterms), NULL UNION ALL SELECT 'embedding', (SELECT count(*) FROM embeddings), NULL, (SELECT max(len(embedding)) FROM embeddings)""")
+def index_information(spark, sf_dir):
+    return corpus_index(spark, sf_dir).information(vectors(spark, sf_dir))
+
+
 @query(f"WITH {_BM25} SELECT query_id, b.doc_id, score, rank, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, substr(text, 1, 500) AS snippet, md5(text) AS text_md5 FROM bm25 b JOIN documents d ON d.doc_id = b.doc_id WHERE rank <= 10")
 def enriched_results(spark, sf_dir):
     return rank.enrich(bm25(spark, sf_dir), titled(spark, sf_dir), raw=True, strict=True).withColumn("text_md5", F.md5("raw_text")).drop("raw_text")
