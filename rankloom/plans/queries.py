@@ -227,7 +227,7 @@ def shard_details(spark, sf_dir):
 
 @query(f"""WITH {_BASE}{_TFIDF}, sterms AS (SELECT DISTINCT term FROM (SELECT shard_id, term, count(*) AS df FROM post JOIN (SELECT doc_id, {_SHARD} AS shard_id FROM documents) USING (doc_id) GROUP BY ALL) JOIN (SELECT {_SHARD} AS shard_id, count(*) AS n FROM documents GROUP BY 1) USING (shard_id) WHERE df <= greatest(1, floor(0.98 * n)))
 SELECT 'bm25' AS model, (SELECT n FROM stat) AS documents, (SELECT count(DISTINCT term) FROM post) AS terms, NULL::INT AS width UNION ALL SELECT 'tfidf', (SELECT n FROM stat), (SELECT count(*) FROM tv), NULL
-UNION ALL SELECT 'distributed_bm25', (SELECT n FROM stat), (SELECT count(*) FROM sterms), NULL UNION ALL SELECT 'embedding', (SELECT count(*) FROM embeddings), NULL, (SELECT max(len(embedding)) FROM embeddings)""")
+UNION ALL SELECT 'distributed_bm25', (SELECT n FROM stat), (SELECT count(*) FROM sterms), NULL UNION ALL SELECT 'embedding', (SELECT count(*) FROM embeddings), NULL, (SELECT CAST(max(len(embedding)) AS INT) FROM embeddings)""")
 def index_information(spark, sf_dir):
     return corpus_index(spark, sf_dir).information(vectors(spark, sf_dir))
 
