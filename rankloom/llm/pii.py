@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +91,8 @@ _AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s*|\s*@\s+"
 _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s+\.\s+"
 _NAME = r"[A-Za-z0-9_%+-]+"
 #: An address in disguise: names joined by dots, an at, and a domain with at least one dot, any of them disguised.
-_ADDRESS = re.compile(rf"({_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,8}})({_AT}|@)([A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{1,8}})", re.I)
+#: No match starts inside a name: what follows a name doesn't hang on where it starts, so a start there only costs time.
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+-])({_NAME}(?:(?:{_DOT}|\.){_NAME}){{0,8}})({_AT}|@)([A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{1,8}})", re.I)
 _DOTS = re.compile(_DOT, re.I)
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:plus[\s-]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]))+(?![A-Za-z])", re.I)
 _DIGIT_WORD = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
@@ -198,10 +200,17 @@ def detect_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     mapped = normalised(text)
     if mapped is None:
         return base, base
-    taken, more = sorted((s, e) for _, s, e in base), []
+    # plain spans, overlapping ones joined: starts and ends both ascend
+    starts, ends, more = [], [], []
+    for _, s, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, start, end in plain(mapped[0]):
         source = (mapped[1][start][0], mapped[1][end - 1][1])
-        if not any(s < source[1] and source[0] < e for s, e in taken):
+        if bisect_left(starts, source[1]) == bisect_right(ends, source[0]):
             more.append((kind, *source))
     return base, sorted({*base, *more}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
