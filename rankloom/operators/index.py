@@ -127,8 +127,8 @@ class Index:
     @classmethod
     def of(cls, token_rows: DataFrame, profile: Profile, keep: Callable[[DataFrame, str], DataFrame] = same) -> Index:
         """``keep`` stores a table and gives it back, so that each is computed once."""
-        counts = keep(postings(token_rows, profile), "counts")
-        post = keep(by_term(counts), "postings")
+        # the ranges are sampled from the shuffled counts: texts are cut once
+        post = keep(by_term(postings(token_rows, profile)), "postings")
         dl, terms = keep(lengths(post, token_rows), "lengths"), keep(frequencies(post), "terms")
         total, average = dl.agg(F.count("*"), F.avg("dl")).first()
         return cls(post, dl, terms, total, float(average or 0), keep)
