@@ -40,14 +40,19 @@ def qrels(lines: DataFrame) -> DataFrame:
     return rows.select(F.trim(parts[0]).alias("query_id"), F.when(wide, F.trim(parts[1])).otherwise("0").alias("iteration"), F.trim(F.when(wide, F.get(parts, F.lit(2))).otherwise(parts[1])).alias("doc_id"), F.trim(F.when(wide, F.get(parts, F.lit(3))).otherwise(parts[2])).cast("int").alias("relevance"))
 
 
+BOM = "\ufeff"
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A CSV report with names in its first line, after a byte order mark, and quotes doubled."""
+    named = df.toDF(*(BOM * (i == 0) + c for i, c in enumerate(df.columns)))
+    named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A CSV report as strings; a byte order mark before the first name goes."""
-    df = spark.read.option("header", True).csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return df.toDF(*(c.lstrip(BOM) for c in df.columns))
 
 
 def spread(df: DataFrame, least: int = 32 << 20) -> DataFrame:

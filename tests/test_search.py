@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import PROFILES, Profile
 from rankloom.operators import answer, checks, cluster, index, ltr, metrics, rank, report, rewrite, vectors
-from rankloom.plans import suite
+from rankloom.plans import suite, views
 from rankloom.plans.kept import corpus_index, keep
 from rankloom.plans.request import SearchRequest
 from rankloom.plans.search import Corpus, record, search
@@ -252,7 +252,9 @@ def test_readers_and_export(spark, tmp_path):
         export.queries(spark.createDataFrame([("1", "", "")], "qid string, disease string, gene string")).collect()
     report_path = str(tmp_path / "csv")
     files.write_report(spark.createDataFrame([("a", 1.5)], "name string, map double").coalesce(1), report_path)
-    assert [tuple(r) for r in files.read_report(spark, report_path).collect()] == [("a", "1.5")]
+    assert [tuple(r) for r in files.read_report(spark, report_path).collect()] == [("a", "1.5")] and files.read_report(spark, report_path).columns == ["name", "map"]
+    part = next((tmp_path / "csv").glob("part*.csv")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfname,map")
 
 
 def test_top_terms_of_a_json_list(spark):
@@ -359,3 +361,24 @@ def test_core_edges(spark, stem):
     assert rank.tfidf(queries, own, profile, 5, min_df=1, max_df=None).where("rank = 1").first()["doc_id"] == 3
     none = index.Index.of(index.token_table(docs.limit(0), profile), profile)
     assert rank.bm25(queries, none, profile, pad=True).collect() == [] and rank.tfidf(queries, none, profile).collect() == [] and rank.bm25_all(queries, none, profile).collect() == []
+
+
+def test_views(corpus, spark, tmp_path):
+    import json
+
+    assert [d["dataset"] for d in views.datasets() if "biomedical_embedding" in d["models"]] == ["clinical_trials"]
+    with pytest.raises(ValueError):
+        views.known("x")
+    assert views.document(corpus, 3)["doc_id"] == 3 and views.document(corpus, 999) is None
+    shown = views.results(search(corpus, SearchRequest("heart tumor", "clinical_trials", "rag", rag_retriever_model="bm25")))
+    assert shown["count"] == 10 and len(shown["sources"]) == 5 and shown["confidence"] and shown["searched"] == "heart tumor"
+    (tmp_path / "a.csv").write_text('﻿cluster_id,size,share,label\n1,20,0.5,"a ""quoted"", b"\n2,,x.y,\n', encoding="utf-8")
+    rows = views.clusters(spark, str(tmp_path / "a.csv"))
+    assert [json.loads(r["value"]) for r in views.as_json(rows).collect()] == [{"cluster_id": 1, "size": 20, "share": 0.5, "label": 'a "quoted", b'}, {"cluster_id": 2, "size": "", "share": "x.y", "label": ""}]
+    (tmp_path / "t.csv").write_text("cluster_id,top_terms\n1,a:2 b:1\n")
+    assert [tuple(x) for x in views.topics(spark, str(tmp_path / "t.csv")).first()["top_terms"]] == [("a", 2.0), ("b", 1.0)]
+    (tmp_path / "full_bm25.csv").write_text("dataset,model,MAP\nquora,bm25,0.5\n")
+    rows, sections, errors = views.evaluation(spark, str(tmp_path), {"model_comparison": ["full_bm25.csv", "lost.csv"], "runtime_comparison": "../x.csv"})
+    assert [(r["scenario"], r["comparison_phase"], r["map"]) for r in rows.collect()] == [("bm25_baseline", "before", 0.5)]
+    assert [e["source"] for e in errors] == ["lost.csv", "../x.csv"] and sections.where("n > 0").count() == 1
+    assert [r["query"] for r in views.history(corpus.history, "u", "clinical_trials", 2).orderBy("nth").collect()] == ["renal heart", "renal dose"]
