@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes handled at once inside a Python worker; Arrow batches from Spark are cut to this, a larger row comes alone.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 8 << 20
 #: Rows of a table of a few numbers that may be broadcast.
 MOST_SENT = 1 << 21
 
@@ -47,6 +50,25 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session asks for others than Spark's default of 64 MB.
+
+    A batch is held by the JVM and by the worker, for each task of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, as workers live on and serve other stages beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch within SLICE_ROWS and, but for single rows, SLICE_BYTES."""
     at = 0
@@ -58,6 +80,14 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += rows
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice that plans which have been written are gone, so that executors delete their shuffle files.
+
+    Spark deletes them when the driver's collector finds their plans unreachable, which may be long after.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -68,12 +98,16 @@ def map_slices(
     """mapInArrow over only the named columns, in slices of bounded rows and bytes, so that memory stays bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = fn(part)
-                if out is not None and out.num_rows:
-                    yield out
-
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    out = fn(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            give_back()
+
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

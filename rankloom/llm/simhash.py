@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import map_slices, materialise
+from rankloom.llm.common import map_slices, materialise, sent
 from rankloom.llm.components import connected_components
 from rankloom.llm.passages import mix, shingles
 
@@ -33,8 +33,9 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints that the top tree is fitted on, at most; every fingerprint is then placed.
 SAMPLE = 32768
-#: Fingerprints wanted in a shard, and the most that one task compares.
-SHARD, BLOCK = 4096, 16384
+#: Fingerprints wanted in a shard, and the most that one task takes; its own tree parts them further. The sample can tell
+#: some 2,000 leaves apart, so shards are parted into block pairs only beyond about 10**9 distinct fingerprints.
+SHARD, BLOCK = 4096, 1 << 19
 LEAF = 256
 
 
@@ -201,8 +202,9 @@ def op8(spark, sf_dir: str) -> DataFrame:
 WIDTH, LEAST = 5, 0.8
 #: Min-hashes in a band and bands: texts at LEAST share a band with a probability of 0.997.
 ROWS, BANDS = 8, 32
-#: Texts of one band that are compared in full; of more, each with the first, and those unlike it among themselves.
-FULL = 16
+#: Texts of one band that are compared in full; of more, each with the most central one. Those unlike it meet again where
+#: they share one of MORE_BANDS bands of MORE_ROWS further min-hashes too (98.5 % of alike pairs do), with FULL central ones.
+FULL, MORE_ROWS, MORE_BANDS = 16, 4, 8
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -211,99 +213,164 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(own if len(own) else shingles(text, max(1, len(text.encode().split()))))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A hash of each band of min-hashes; texts without words share all bands."""
-    k = np.arange(ROWS * BANDS, dtype=np.uint64)
+def bands(sets: list[np.ndarray], level: int = 0) -> np.ndarray:
+    """(texts, bands): a hash of each band of min-hashes of the level; sets without elements share all bands."""
+    rows, number = (MORE_ROWS, MORE_BANDS) if level else (ROWS, BANDS)
+    k = np.arange(rows * number, dtype=np.uint64) + np.uint64(level << 20)
     factors = mix(k + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    least = np.full(len(k), np.iinfo(np.uint64).max)
-    for i, factor in enumerate(factors if len(own) else ()):
-        least[i] = ((own ^ (factor >> np.uint64(1))) * factor).min()
-    total = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
+    held = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+    least = np.full((len(k), len(sets)), np.iinfo(np.uint64).max)
+    if len(held):
+        joined = np.concatenate([sets[i] for i in held])
+        starts = np.cumsum([0] + [len(sets[i]) for i in held[:-1]])
+        for i, factor in enumerate(factors):
+            least[i, held] = np.minimum.reduceat((joined ^ (factor >> np.uint64(1))) * factor, starts)
+    total = np.repeat(np.arange(number, dtype=np.uint64)[:, None], len(sets), axis=1)
+    for part in least.reshape(number, rows, len(sets)).transpose(1, 0, 2):
         total = mix(total * np.uint64(0xD6E8FEB86659FD93) + part)
-    return total.view(np.int64)
+    return total.T.view(np.int64) if number else total.T
+
+
+def _sketch(texts: DataFrame, level: int) -> DataFrame:
+    """(band, u) for each text (u, text) and band of a level."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = bands([shingle_set(x) for x in batch.column(1).to_pylist()], level)
+        return pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), own.shape[1]))], ["band", "u"])
+
+    return map_slices(texts, ["u", "text"], "band long, u long", run)
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, u, v, star) for rows (band, u) sorted by both: pairs to compare; u of a star comes again if it fails."""
-    held = [np.zeros(0, np.int64)] * 2
+    """(band, u, v) for rows (band, u) sorted by both: all pairs of a band of FULL texts or fewer; a larger one's texts, with null v."""
+    none = np.zeros(0, np.int64)
+    held, large = (none, none), None  # the band that may go on, and whether it is known to be large
 
-    def pairs(band: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+    def made(band: np.ndarray, u: np.ndarray, known) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else none
         sizes = np.diff(np.append(starts, len(band)))
-        found = [(np.zeros(0, np.int64),) * 2]
-        first = np.repeat(starts, sizes)
+        each, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        big = each > FULL
+        if known is not None:
+            big |= band == known
+        i, j = [np.flatnonzero(big)], [np.flatnonzero(big)]
         for step in range(1, min(FULL, int(sizes.max(initial=1)))):
-            own = np.flatnonzero((np.arange(len(band)) - first >= step) & (np.repeat(sizes, sizes) <= FULL))
-            found.append((own, own - step))
-        large = np.repeat(sizes, sizes) > FULL
-        own = np.flatnonzero(large & (first != np.arange(len(band))))
-        star = np.append(np.zeros(sum(len(x) for x, _ in found), bool), np.ones(len(own), bool))
-        i, j = (np.concatenate(x) for x in zip(*found, (own, first[own])))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (band[i], u[i], u[j], star)], ["band", "u", "v", "star"])
+            own = np.flatnonzero((np.arange(len(band)) - first >= step) & ~big)
+            i.append(own)
+            j.append(own - step)
+        alone = np.arange(sum(map(len, i))) < len(i[0])
+        i, j = np.concatenate(i), np.concatenate(j)
+        return pa.RecordBatch.from_arrays([pa.array(band[i]), pa.array(u[i]), pa.array(u[j], mask=alone)], ["band", "u", "v"])
 
     for batch in batches:
-        band, u = (np.append(x, batch.column(i).to_numpy()) for i, x in enumerate(held))
+        band, u = (np.append(x, batch.column(k).to_numpy()) for k, x in enumerate(held))
         if not len(band):
             continue
-        cut = int(np.searchsorted(band, band[-1]))  # the last band may go on
-        held = [band[cut:], u[cut:]]
-        yield pairs(band[:cut], u[:cut])
-    yield pairs(*held)
+        cut = int(np.searchsorted(band, band[-1]))
+        known = large
+        if len(band) - cut > FULL or band[-1] == large:
+            large, cut = band[-1], len(band)  # a large band need not be held: its texts are given out as they come
+        else:
+            large = None
+        held = band[cut:], u[cut:]
+        yield made(band[:cut], u[:cut], known)
+    yield made(*held, large)
 
 
-def similar(texts: DataFrame) -> DataFrame:
-    """(u, v) of alike texts among stored distinct ones (u long, text): Jaccard similarity of LEAST or more."""
+def tree_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v) of stored texts (u, text) whose fingerprints are equal or linked by the vantage-point trees: spanning forests only."""
+    prints = materialise(fingerprints(texts, "u"), "prints")
+    groups = materialise(prints.groupBy("fp").agg(F.min("u").alias("least")), "groups")
+    equal = prints.join(groups, "fp").where("u <> least").select("u", F.col("least").alias("v"))
+    ends = near_links(groups, RADIUS).withColumnsRenamed({"u": "x", "v": "y"})
+    linked = ends.join(groups.select(F.col("fp").alias("x"), F.col("least").alias("u")), "x").join(groups.select(F.col("fp").alias("y"), F.col("least").alias("v")), "y").select("u", "v")
+    return equal.unionByName(linked)
 
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [bands(shingle_set(x)) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "u"])
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["u", "own"])
+def similar(texts: DataFrame) -> DataFrame:
+    """(u, v) of alike texts among stored distinct ones (u long, text): Jaccard similarity of LEAST or more.
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= LEAST * max(len(a), len(b)) else 0
-            good.append(both >= LEAST * (len(a) + len(b) - both))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["u", "v", "good"])
+    The trees give the pairs whose fingerprints are within their radius. Alike texts may differ in ten bits and more, and
+    trees of such a radius would copy most fingerprints to most leaves, so texts that share a band of min-hashes are
+    compared too. A band of very many texts compares each with its most central one, that shares most bands with others;
+    those unlike it are dealt anew by further min-hashes, which part unlike texts sooner than alike ones.
+    """
 
-    rows, out = map_slices(texts, ["u", "text"], "band long, u long", sketch), None
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingle_set(x).view(np.int64) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["u", "own"])
+
+    # sizes first, as most unlike pairs differ in them
+    small, large = F.least(F.size("own"), F.size("other")), F.greatest(F.size("own"), F.size("other"))
+    common = F.size(F.array_intersect("own", "other"))
+    alike = F.when(small >= LEAST * large, common >= LEAST * (small + large - common)).otherwise(False)
+    pair = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rows, asked, out, level = _sketch(texts, 0), pair(tree_pairs(texts)), None, 0
     while True:
-        pairs = materialise(rows.repartition("band").sortWithinPartitions("band", "u").mapInArrow(_partners, "band long, u long, v long, star boolean"), "pairs")
-        asked = pairs.select("u", "v").distinct()
+        found = materialise(rows.repartition("band").sortWithinPartitions("band", "u").mapInArrow(_partners, "band long, u long, v long"), "partners")
+        hot = found.where("v is null").select("band", "u").distinct()
+        sizes = hot.groupBy("band").agg(F.count("*").alias("n"))
+        weight = hot.join(sizes, "band").groupBy("u").agg(F.sum("n").alias("w"))
+        central = Window.partitionBy("band").orderBy(F.desc("w"), "u")
+        first = hot.join(weight, "u").withColumn("nth", F.row_number().over(central)).where(F.col("nth") <= (FULL if level else 1))
+        centres = first.groupBy("band").agg(F.collect_list("u").alias("cs"))  # FULL at most
+        placed = materialise(hot.join(centres, "band"), "placed")
+        # a text meets each centre once, however many bands they share
+        stars = placed.groupBy("u").agg(F.explode(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("v")).where("u <> v")
+        asked = materialise(pair(found.where("v is not null")).unionByName(pair(stars)).unionByName(asked).distinct(), "asked")
         ends = asked.select("u").unionByName(asked.select(F.col("v").alias("u"))).distinct()
-        own = materialise(map_slices(texts.join(ends, "u", "left_semi"), ["u", "text"], "u long, own binary", sets), "sets")
+        own = materialise(map_slices(texts.join(sent(materialise(ends, "ends")), "u", "left_semi"), ["u", "text"], "u long, own array<long>", sets), "sets")
         both = asked.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("own").alias("other")), "v")
-        told = materialise(map_slices(both, ["u", "v", "own", "other"], "u long, v long, good boolean", compare), "told")
-        good = told.where("good").select("u", "v")
+        good = materialise(both.where(alike).select("u", "v"), "alike")
         out = good if out is None else out.unionByName(good)
-        again = pairs.where("star").join(told.where("not good"), ["u", "v"], "left_semi").select("band", "u")
-        if again.limit(1).count() == 0:
+        # at most FULL x BANDS centres for each text
+        either = good.unionByName(good.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        liked = either.join(centres.select(F.explode("cs").alias("v")).distinct(), "v", "left_semi").groupBy("u").agg(F.collect_set("v").alias("gs"))
+        left = placed.join(liked, "u", "left").where(~F.array_contains("cs", F.col("u")) & ~F.coalesce(F.arrays_overlap("cs", "gs"), F.lit(False)))
+        left = materialise(left.select("band", "u"), "left")
+        if left.limit(1).count() == 0:
             return out
-        rows = again
+        level += 1
+        more = _sketch(texts.join(sent(materialise(left.select("u").distinct(), "ends")), "u", "left_semi"), level).withColumnRenamed("band", "more")
+        rows = left.join(more, "u").select(F.xxhash64("band", "more").alias("band"), "u")
+        asked = good.limit(0)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without near-duplicates: of each component the row with its smallest doc_id stays, once.
 
     Rows may repeat an id or have none: of equal ids the text with the smaller hash comes first, null ids come last.
+    Texts are linked from a Jaccard similarity of LEAST on, as ``similar`` finds them by trees and bands.
 
-    Texts are linked from a Jaccard similarity of LEAST on. Candidates are texts that share a band of min-hashes: the
-    fingerprints of such texts differ in so many bits that trees of that radius would copy most of them everywhere.
+    Texts stay where they are as long as what is dropped is small enough to be sent to them: first all rows of a text but
+    one, for the search, then all rows of a component but one.
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = materialise(docs.groupBy(own.alias("u")).agg(F.min("doc_id").alias("least"), F.coalesce(F.min("text"), F.lit("")).alias("text")), "texts")
+    keys = materialise(docs.select(own.alias("u"), "doc_id"), "keys")
+    groups = materialise(keys.groupBy("u").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "groups")
+    again = materialise(keys.join(groups.where("n > 1"), "u").where("not doc_id <=> least").select("u", "doc_id").distinct(), "again")
+    full = docs.select(own.alias("u"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = _without(full, again).select("u", "text")
+    # rows that repeat both id and text are still there
+    twice = keys.join(groups.where("n > 1"), "u").where("doc_id <=> least").groupBy("u").count().where("count > 1").select("u")
+    twice = materialise(twice, "twice")
+    if twice.limit(1).count():
+        texts = texts.join(sent(twice), "u", "left_anti").unionByName(texts.join(sent(twice), "u", "left_semi").dropDuplicates(["u"]))
     roots = connected_components(similar(texts)).withColumnRenamed("node", "u")
-    labels = materialise(texts.select("u", "least").join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "labels")
+    labels = materialise(groups.select("u", "least").join(roots, "u", "left").select("u", "least", F.coalesce("root", "u").alias("root")), "labels")
     # ids need not be unique or present: a row is known by its id and its text, and rows without an id come last
-    best = labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "u")).alias("m")).select("m.u", "m.least")
-    kept = docs.withColumn("u", own).join(best, "u").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    again = kept.groupBy("u").count().where("count > 1").select("u")
+    best = materialise(labels.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "u")).alias("m")).select("m.u", F.col("m.least").alias("doc_id")), "best")
+    drop = materialise(keys.distinct().join(best.withColumn("kept", F.lit(True)), (keys["u"] == best["u"]) & keys["doc_id"].eqNullSafe(best["doc_id"]), "left").where("kept is null").select(keys["u"], keys["doc_id"]), "drop")
+    kept = _without(docs.withColumn("__dedup_u", own), drop, "__dedup_u")
+    again = materialise(keys.join(best, (keys["u"] == best["u"]) & keys["doc_id"].eqNullSafe(best["doc_id"]), "left_semi").groupBy("u").count().where("count > 1").select(F.col("u").alias("__dedup_u")), "again")
     if again.limit(1).count():
-        place = Window.partitionBy("u").orderBy(F.to_json(F.struct(*docs.columns)))
-        some = kept.join(again, "u", "left_semi").withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
-        kept = kept.join(again, "u", "left_anti").unionByName(some)
+        place = Window.partitionBy("__dedup_u").orderBy(F.to_json(F.struct(*docs.columns)))
+        some = kept.join(sent(again), "__dedup_u", "left_semi").withColumn("__dedup_place", F.row_number().over(place)).where("__dedup_place = 1").drop("__dedup_place")
+        kept = kept.join(sent(again), "__dedup_u", "left_anti").unionByName(some)
     return kept.select(*docs.columns)
+
+
+def _without(df: DataFrame, drop: DataFrame, u: str = "u") -> DataFrame:
+    """Rows whose text hash and id are not in the stored table (u, doc_id); ids may be null."""
+    gone = sent(drop).withColumnsRenamed({"u": "_gone", "doc_id": "_id"})
+    return df.join(gone, (df[u] == gone["_gone"]) & df["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
