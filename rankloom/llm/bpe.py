@@ -29,7 +29,7 @@ from rankloom.llm.common import map_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Entries of a worker's memo before it starts anew.
-MEMO = 300_000
+MEMO = 150_000
 #: A space after white space, where cutting before the space could part a run of white space.
 _RUN = regex.compile(r"\s ")
 
