@@ -163,6 +163,59 @@ def test_recall_of_near_passages_among_frequent_lines(spark):
     assert found >= 145, found
 
 
+def test_all_alike_windows_of_a_value_are_joined():
+    """Spanning links join the texts of every alike pair of windows, found one by one, whichever text comes first."""
+    rng = np.random.default_rng(5)
+    line, rows = rng.integers(0, 1 << 32, 20, dtype=np.uint32), []
+    for i in range(100):
+        if i % 5 == 0:  # texts that share the line only, or a part of what stands beside it
+            base = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
+            base[40:60] = line
+        own = base.copy()
+        at = rng.integers(0, 91, rng.integers(0, 12))
+        own[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint32)
+        if i % 7 == 0:
+            own[70:] = own[69]
+        if i % 4 == 0:
+            own[10:39] = own[11:40].copy()
+        own[45] = line[5]
+        left, right = rng.integers(20, 46, 2)
+        if left + right >= 45:
+            rows.append((int(rng.integers(0, 120)), i * 100 + 50, (int(left) << 10) | (int(right) << 4), own[45 - left : 46 + right].tobytes()))
+    got = passages.window_forest(*(np.array([r[k] for r in rows]) for k in range(3)), [r[3] for r in rows])
+    cuts = [np.frombuffer(r[3], np.uint32) for r in rows]
+    want = [{"a": rows[i][0], "b": rows[k][0]} for i, k in itertools.combinations(range(len(rows)), 2) if rows[i][0] != rows[k][0] and slow_alike(cuts[i], cuts[k])]
+    assert len(want) > 30 and joined(want) == joined([{"a": r[0], "b": r[1]} for r in got])
+    assert all(a > b and end - start >= 50 for a, b, start, end, _ in got)
+
+
+def slow_alike(a, b):
+    runs = lambda x: [set(x[i : i + 46].tolist()) for i in range(len(x) - 45)]
+    return any(len(x & y) >= 0.8 * len(x | y) for x in runs(a) for y in runs(b))
+
+
+def test_near_passages_made_of_frequent_lines_are_all_joined(spark):
+    """Passages made of lines that all texts hold, each in two texts with a word changed: every pair, by brute force, is joined."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    lines = [[word() for _ in range(26)] for _ in range(5)]
+    texts = []
+    for i in range(70):
+        own = [w for k in rng.sample(range(5), 3) for w in lines[k]]
+        for _ in range(2):
+            part = list(own)
+            part[rng.randrange(len(part))] = word()
+            part[rng.randrange(len(part))] = word()
+            texts.append([*(word() for _ in range(40)), *part, *(word() for _ in range(40))])
+    rng.shuffle(texts)
+    out = {r["doc_id"]: r for r in passages.passage_classes(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()}
+    own = [passages.shingles(" ".join(x)).astype(np.uint32) for x in texts]
+    alike = [(i, k) for i, k in itertools.combinations(range(len(texts)), 2) if passages.verify(own[i], own[k])]
+    assert len(alike) > 300
+    missed = [(i, k) for i, k in alike if out[i]["class_id"] != out[k]["class_id"]]
+    assert not missed, (len(missed), len(alike))
+
+
 def test_rows_that_repeat_an_id_count_as_one_text(spark):
     rng = random.Random(2)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
