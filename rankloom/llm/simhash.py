@@ -202,9 +202,10 @@ def op8(spark, sf_dir: str) -> DataFrame:
 WIDTH, LEAST = 5, 0.8
 #: Min-hashes in a band and bands: texts at LEAST share a band with a probability of 0.997.
 ROWS, BANDS = 8, 32
-#: Texts of one band that are compared in full; of more, each with the most central one. Those unlike it meet again where
-#: they share one of MORE_BANDS bands of MORE_ROWS further min-hashes too (98.5 % of alike pairs do), with FULL central ones.
-FULL, MORE_ROWS, MORE_BANDS = 16, 4, 8
+#: Texts of one band of which all pairs are asked; of more, each asks the most central one and ``band_forest`` does the rest.
+FULL = 16
+#: Shingles of one band that are compared in one go; of more, one pair of blocks at a time.
+HOLD = 1 << 20
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -213,10 +214,10 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(own if len(own) else shingles(text, max(1, len(text.encode().split()))))
 
 
-def bands(sets: list[np.ndarray], level: int = 0) -> np.ndarray:
-    """(texts, bands): a hash of each band of min-hashes of the level; sets without elements share all bands."""
-    rows, number = (MORE_ROWS, MORE_BANDS) if level else (ROWS, BANDS)
-    k = np.arange(rows * number, dtype=np.uint64) + np.uint64(level << 20)
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """(texts, bands): a hash of each band of min-hashes; sets without elements share all bands."""
+    rows, number = ROWS, BANDS
+    k = np.arange(rows * number, dtype=np.uint64)
     factors = mix(k + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     held = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
     least = np.full((len(k), len(sets)), np.iinfo(np.uint64).max)
@@ -231,11 +232,11 @@ def bands(sets: list[np.ndarray], level: int = 0) -> np.ndarray:
     return total.T.view(np.int64) if number else total.T
 
 
-def _sketch(texts: DataFrame, level: int) -> DataFrame:
-    """(band, u) for each text (u, text) and band of a level."""
+def _sketch(texts: DataFrame) -> DataFrame:
+    """(band, u) for each text (u, text) and band."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = bands([shingle_set(x) for x in batch.column(1).to_pylist()], level)
+        own = bands([shingle_set(x) for x in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), own.shape[1]))], ["band", "u"])
 
     return map_slices(texts, ["u", "text"], "band long, u long", run)
@@ -293,7 +294,7 @@ def similar(texts: DataFrame) -> DataFrame:
     The trees give the pairs whose fingerprints are within their radius. Alike texts may differ in ten bits and more, and
     trees of such a radius would copy most fingerprints to most leaves, so texts that share a band of min-hashes are
     compared too. A band of very many texts compares each with its most central one, that shares most bands with others;
-    those unlike it are dealt anew by further min-hashes, which part unlike texts sooner than alike ones.
+    then all of its pairs that these links leave unjoined are compared, so the components are those of all pairs of a band.
     """
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -305,35 +306,107 @@ def similar(texts: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("own", "other"))
     alike = F.when(small >= LEAST * large, common >= LEAST * (small + large - common)).otherwise(False)
     pair = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rows, asked, out, level = _sketch(texts, 0), pair(tree_pairs(texts)), None, 0
+    found = materialise(_sketch(texts).repartition("band").sortWithinPartitions("band", "u").mapInArrow(_partners, "band long, u long, v long"), "partners")
+    hot = found.where("v is null").select("band", "u").distinct()
+    sizes = hot.groupBy("band").agg(F.count("*").alias("n"))
+    weight = hot.join(sizes, "band").groupBy("u").agg(F.sum("n").alias("w"))
+    first = hot.join(weight, "u").groupBy("band").agg(F.max_by("u", F.struct("w", "u")).alias("v"))
+    placed = materialise(hot.join(first, "band"), "placed")
+    stars = placed.where("u <> v").select("u", "v")
+    asked = materialise(pair(found.where("v is not null")).unionByName(pair(stars)).unionByName(pair(tree_pairs(texts))).distinct(), "asked")
+    ends = asked.select("u").unionByName(asked.select(F.col("v").alias("u"))).distinct()
+    own = materialise(map_slices(texts.join(sent(materialise(ends, "ends")), "u", "left_semi"), ["u", "text"], "u long, own array<long>", sets), "sets")
+    both = asked.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("own").alias("other")), "v")
+    good = materialise(both.where(alike).select("u", "v"), "alike")
+    if placed.limit(1).count() == 0:
+        return good
+    return good.unionByName(materialise(_unjoined(placed.select("band", "u"), own, connected_components(good)), "joined"))
+
+
+def _unjoined(hot: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v) of alike texts of large bands (band, u) that join what the components ``roots`` leave apart.
+
+    Bands of one component are done, and of bands of the same texts one is compared. Bands of more than HOLD shingles are
+    parted into blocks, and each pair of blocks is compared.
+    """
+    labels = hot.join(roots.withColumnRenamed("node", "u"), "u", "left").select("band", "u", F.coalesce("root", "u").alias("label"))
+    labels = materialise(labels.join(own.select("u", F.size("own").alias("m")), "u"), "labels")
+    same = F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("texts")
+    large = labels.groupBy("band").agg(F.count("*").alias("n"), same, F.sum("m").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    kept = large.groupBy("n", "texts").agg(F.min("band").alias("band"), F.max("m").alias("m")).select("band", F.ceil((F.col("m") + 1) / HOLD).cast("int").alias("g"))
+    rows = labels.drop("m").join(materialise(kept, "bands"), "band")
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("u"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = rows.select("band", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "u", "label").join(own, "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def made() -> pa.RecordBatch:
+            pairs = band_forest(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), [r[2] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ([], []))], ["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            edges, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            for k, (u, label) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if keys[k] != key:
+                    if len(held) > 1:
+                        yield made()
+                    key, held = keys[k], []
+                held.append((u, label, flat[edges[k] : edges[k + 1]].copy()))
+        if len(held) > 1:
+            yield made()
+
+    cells = cells.select("band", "i", "j", "u", "label", "own").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return cells.mapInArrow(run, "u long, v long")
+
+
+def band_forest(u: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Alike pairs that join what any alike pairs of the texts join, beside those of one label, which are joined already.
+
+    A text with too few shingles that others have is alike to none. Small components are compared with all others first.
+    """
+    sets = [x if len(x) else np.zeros(1, np.int64) for x in sets]  # texts without shingles are alike
+    size, out, own = np.array([len(x) for x in sets]), [], np.arange(len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(own, size)
+    alive = np.ones(len(sets), bool)
     while True:
-        found = materialise(rows.repartition("band").sortWithinPartitions("band", "u").mapInArrow(_partners, "band long, u long, v long"), "partners")
-        hot = found.where("v is null").select("band", "u").distinct()
-        sizes = hot.groupBy("band").agg(F.count("*").alias("n"))
-        weight = hot.join(sizes, "band").groupBy("u").agg(F.sum("n").alias("w"))
-        central = Window.partitionBy("band").orderBy(F.desc("w"), "u")
-        first = hot.join(weight, "u").withColumn("nth", F.row_number().over(central)).where(F.col("nth") <= (FULL if level else 1))
-        centres = first.groupBy("band").agg(F.collect_list("u").alias("cs"))  # FULL at most
-        placed = materialise(hot.join(centres, "band"), "placed")
-        # a text meets each centre once, however many bands they share
-        stars = placed.groupBy("u").agg(F.explode(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("v")).where("u <> v")
-        asked = materialise(pair(found.where("v is not null")).unionByName(pair(stars)).unionByName(asked).distinct(), "asked")
-        ends = asked.select("u").unionByName(asked.select(F.col("v").alias("u"))).distinct()
-        own = materialise(map_slices(texts.join(sent(materialise(ends, "ends")), "u", "left_semi"), ["u", "text"], "u long, own array<long>", sets), "sets")
-        both = asked.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("own").alias("other")), "v")
-        good = materialise(both.where(alike).select("u", "v"), "alike")
-        out = good if out is None else out.unionByName(good)
-        # at most FULL x BANDS centres for each text
-        either = good.unionByName(good.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        liked = either.join(centres.select(F.explode("cs").alias("v")).distinct(), "v", "left_semi").groupBy("u").agg(F.collect_set("v").alias("gs"))
-        left = placed.join(liked, "u", "left").where(~F.array_contains("cs", F.col("u")) & ~F.coalesce(F.arrays_overlap("cs", "gs"), F.lit(False)))
-        left = materialise(left.select("band", "u"), "left")
-        if left.limit(1).count() == 0:
-            return out
-        level += 1
-        more = _sketch(texts.join(sent(materialise(left.select("u").distinct(), "ends")), "u", "left_semi"), level).withColumnRenamed("band", "more")
-        rows = left.join(more, "u").select(F.xxhash64("band", "more").alias("band"), "u")
-        asked = good.limit(0)
+        shared = np.bincount(ids[alive[row]], minlength=len(values)) > 1
+        good = alive & (np.bincount(row, shared[ids], minlength=len(sets)) >= LEAST * size - 1e-9)
+        if (good == alive).all():
+            break
+        alive = good
+    own = np.flatnonzero(alive)
+    if len(own) < 2:
+        return out
+    part = np.unique(label, return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    members: dict[int, list[int]] = {}
+    for i in own.tolist():
+        members.setdefault(int(part[i]), []).append(i)
+    free, mark = alive, np.zeros(len(values), bool)
+    for first in sorted(members, key=lambda k: len(members[k])):
+        todo = [i for i in members[first] if free[i]]
+        free[todo] = False
+        while todo:
+            x = todo.pop()
+            rest = np.flatnonzero(free & (size >= LEAST * size[x] - 1e-9) & (LEAST * size <= size[x] + 1e-9))
+            if not len(rest):
+                continue
+            mine = ids[starts[x] : starts[x] + size[x]]
+            mark[mine] = True
+            n = size[rest]
+            edges = np.cumsum(n) - n
+            common = np.add.reduceat(mark[ids[np.arange(n.sum()) + np.repeat(starts[rest] - edges, n)]], edges, dtype=np.int64)
+            mark[mine] = False
+            for y in rest[common >= LEAST * (size[x] + n - common)].tolist():
+                if free[y]:
+                    out.append((int(u[x]), int(u[y])))
+                    reached = [i for i in members[int(part[y])] if free[i]]
+                    free[reached] = False
+                    todo += reached
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -225,6 +225,45 @@ def test_rows_that_repeat_an_id_count_as_one_text(spark):
     assert sorted(x for x in out if x[0]) == [(1, 1, 2)] * 4 + [(2, 1, 1), (3, 1, 1), (4, 4, 0)] and [x for x in out if x[0] is None] == [(None, None, 0)]
 
 
+def test_all_alike_texts_of_a_large_band_are_joined():
+    """Links join what all pairs of alike texts join, also texts that are both unlike the most central one."""
+    rng = np.random.default_rng(9)
+    base, rows = rng.integers(0, 1 << 62, 60), []
+    for i in range(160):
+        own = base.copy()
+        at = rng.choice(60, int(rng.integers(0, 14)), replace=False)
+        own[at] = rng.integers(0, 1 << 62, len(at))
+        if i % 2:  # half of them have a partner that only they are alike to
+            own = rows[-1].copy()
+            own[rng.integers(0, 60, 4)] = rng.integers(0, 1 << 62, 4)
+        rows.append(own)
+    sets = [np.unique(x) for x in rows] + [np.zeros(0, np.int64)] * 2
+    want = [(i, k) for i, k in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[k])) >= 0.8 * len(np.union1d(sets[i], sets[k]))]
+    edges = lambda pairs: joined([{"a": i, "b": k} for i, k in pairs])
+    label = np.arange(len(sets))
+    got = simhash.band_forest(np.arange(len(sets)), label, sets)
+    assert len(want) > 80 and edges(got) == edges(want)
+    known = want[::9]
+    for i, k in known:
+        label[label == label[k]] = label[i]
+    assert edges(simhash.band_forest(np.arange(len(sets)), label, sets) + known) == edges(want)
+
+
+def test_links_of_texts_unlike_the_central_one_are_kept(spark, monkeypatch):
+    """A large band's texts form a chain, of which only neighbours are alike: one text of all stays, however blocks part them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    words, rows = [word() for _ in range(300)], []
+    for i in range(60):
+        for k in range(5 * i, 5 * i + 3):
+            words[k % 300] = word()
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hold in (simhash.HOLD, 4000):
+        monkeypatch.setattr(simhash, "HOLD", hold)
+        assert [r["doc_id"] for r in simhash.keep_one(frame).collect()] == [0]
+
+
 # --- nearest neighbours
 
 
