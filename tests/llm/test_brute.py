@@ -216,6 +216,64 @@ def test_near_passages_made_of_frequent_lines_are_all_joined(spark):
     assert not missed, (len(missed), len(alike))
 
 
+def test_windows_of_many_values_are_compared_at_once():
+    """Groups side by side, small ones and such as are compared one by one, link what each alone links by brute force."""
+    rng = np.random.default_rng(11)
+    line, groups = rng.integers(0, 1 << 32, 30, dtype=np.uint32), []
+    for g in range(12):
+        rows = []
+        for i in range(14):
+            if i % 4 == 0:  # all groups hold the line
+                base = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
+                base[35:65] = line
+            own = base.copy()
+            at = rng.integers(0, 91, rng.integers(0, 9))
+            own[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint32)
+            if i % 5 == 0:
+                own[10:39] = own[11:40].copy()
+            if i % 7 == 0:
+                own[70:] = own[69]
+            left, right = rng.integers(25, 46, 2)
+            rows.append((int(rng.integers(0, 40)) + 100 * g, i * 100 + 50, (int(left) << 10) | (int(right) << 4), own[45 - left : 46 + right].tobytes()))
+        groups.append(rows)
+    want = []
+    for rows in groups:
+        cuts = [np.frombuffer(r[3], np.uint32) for r in rows]
+        want += [{"a": rows[i][0], "b": rows[k][0]} for i, k in itertools.combinations(range(len(rows)), 2) if rows[i][0] != rows[k][0] and slow_alike(cuts[i], cuts[k])]
+    flat = [r for rows in groups for r in rows]
+    number = np.repeat(np.arange(len(groups)), [len(x) for x in groups])
+    for small in (0, 8, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(passages, "SMALL", small)
+            got = passages.window_forest(*(np.array([r[k] for r in flat]) for k in range(3)), [r[3] for r in flat], number)
+        assert len(want) > 30 and joined(want) == joined([{"a": r[0], "b": r[1]} for r in got])
+
+
+def test_only_windows_that_may_share_a_span_are_looked_up(spark):
+    """Lines of 20 words that texts share ask for no span; a passage that two of them share asks for all of its own."""
+    rng = random.Random(8)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    lines, both = [fresh(20) for _ in range(10)], fresh(60)
+    texts = [[w for line in rng.sample(lines, 6) for w in [*line, *fresh(30)]] for _ in range(100)]
+    shared = [[*fresh(40), *both, *fresh(40)] for _ in range(2)]
+
+    def asked(rows):
+        docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        try:
+            return passages.links(passages.windows(docs)).where("b is null").select("a", "ca", "code").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    # eight bits tell two sides apart but by chance; the last value of a part is always asked for
+    assert len({r["a"] for r in asked(texts)}) < 60
+    rows = asked(texts + shared)
+    # each span of 46 shingles of the 56 that both hold lies around a core that is asked for
+    for doc in (100, 101):
+        spans = {s for r in rows if r["a"] == doc for s in range(r["ca"] - (r["code"] >> 10), r["ca"] + ((r["code"] >> 4) & 63) - 44) if r["ca"] - 45 <= s <= r["ca"]}
+        assert spans >= set(range(40, 51))
+
+
 def test_rows_that_repeat_an_id_count_as_one_text(spark):
     rng = random.Random(2)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
