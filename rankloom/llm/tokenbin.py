@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -81,14 +80,17 @@ def unpack(chunk: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw).reshape(-1).view("<u4")[:total]
 
 
-_TAILED = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: Punctuation that ends a word and makes a piece of its own after letters; an apostrophe may begin a contraction.
+_TAIL = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
 
 
 class WordBPE:
     """Ids of texts under the given tokenizer file; white space parts its input, so ids are kept by word.
 
     ASCII letters are lower-cased first, as the tokenizer's own normaliser does, except where a text holds "<|", as its
-    special tokens do. Words of letters go straight to the library's model, all others through the whole tokenizer.
+    special tokens do. Words of letters, and such with punctuation behind them, go straight to the library's model, all
+    others through the whole tokenizer. The ids of words are kept in two parts of MEMO words: where the newer is full, it
+    takes the older one's place, so words that come again are kept and those that came once go.
     """
 
     def __init__(self, path: str):
@@ -98,15 +100,25 @@ class WordBPE:
         spare = iter(range(0x100, 0x200))
         self.to_chars = {b: chr(b if b in plain else next(spare)) for b in range(256)}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def letters(self, word: bytes) -> bytes | None:
+        """The ids of a word that is one piece of letters beyond ASCII, or None."""
+        text = unicodedata.normalize("NFC", word.decode()).lower()
+        if not text.isalpha() or "σ" in text or "ς" in text:
+            return None
+        return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.to_chars))]).tobytes()
 
     def word(self, word: bytes) -> bytes:
         if word.isalpha():
             return array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
-        if tailed := _TAILED.fullmatch(word):
-            return self.get(tailed[1]) + self.whole(tailed[2])
-        text = unicodedata.normalize("NFC", word.decode()).lower()
-        if text.isalpha() and "σ" not in text and "ς" not in text:
-            return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.to_chars))]).tobytes()
+        head = word.rstrip(_TAIL)
+        if head.isalpha():
+            return self.get(head) + self.whole(word[len(head) :])
+        if head and not word.isascii():
+            out = self.letters(head)
+            if out is not None:
+                return out + self.whole(word[len(head) :]) if len(head) < len(word) else out
         return self.whole(word)
 
     @functools.lru_cache(50_000)
@@ -116,20 +128,26 @@ class WordBPE:
     def get(self, word: bytes) -> bytes:
         out = self.known.get(word)
         if out is None:
+            out = self.older.get(word)
+            if out is None:
+                out = self.word(word)
             if len(self.known) >= MEMO:
-                self.known.clear()
-            self.known[word] = out = self.word(word)
+                self.known, self.older = {}, self.known
+            self.known[word] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text:
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        words = text.encode().lower().split()
+    def encode(self, text: str | bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids; bytes are UTF-8."""
+        raw = text if isinstance(text, bytes) else text.encode()
+        if b"<|" in raw:
+            return array("I", self.library.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
+        words = raw.lower().split()
         parts = list(map(self.known.get, words))
         if None in parts:
-            get = self.get
-            parts = [get(w) if p is None else p for w, p in zip(words, parts)]
+            at, get = 0, self.get
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at)
+                parts[at] = get(words[at])
         return b"".join(parts)
 
 
@@ -160,8 +178,8 @@ def write_token_store(df: DataFrame, path: str | None = None, key: str = "doc_id
 
         for batch in batches:
             for part in slices(batch):
-                for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = own.encode(x or "") + end
+                for k, x in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                    raw = own.encode(x or b"") + end
                     keys.append(k)
                     counts.append(len(raw) // 4)
                     parts.append(raw)

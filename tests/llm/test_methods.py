@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -109,6 +110,20 @@ def test_token_store(spark, texts):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_stay_known(monkeypatch):
+    """A word that comes again is encoded once, however many others come once; ids are the library's, whatever is kept."""
+    monkeypatch.setattr(tokenbin, "MEMO", 40)
+    path, rng, asked = public_tokenizers.path(tokenbin.MODEL), random.Random(4), Counter()
+    library, own = Tokenizer.from_file(path), tokenbin.WordBPE(path)
+    word = own.word
+    monkeypatch.setattr(own, "word", lambda w: asked.update([w]) or word(w))
+    often = ["the", "nación,", "«é»", "ab'", "größe).", "x9,"]
+    for _ in range(100):
+        text = " ".join([*often, *("".join(rng.choices("abcdéñ", k=9)) + rng.choice(["", ",", "'s", ").", "…,"]) for _ in range(5))])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(asked[w.encode()] == 1 for w in often)
+
+
 # --- near-duplicates
 
 
