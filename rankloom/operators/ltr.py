@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import Profile, repaired, tokens
+from rankloom.functions.text import Profile, repaired, terms, tokens
 from rankloom.operators import metrics
 
 MODELS = ("bm25", "tfidf", "embedding", "biomedical_embedding")
@@ -36,8 +36,9 @@ def features(rankings: dict[str, DataFrame], queries: DataFrame, docs: DataFrame
     wide = wide.withColumn("rrf_sum", reduce(lambda a, b: a + b, [F.col(f"reciprocal_rank_{m}") for m in names]))
     flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
     title = F.col("title") if "title" in docs.columns else F.lit("")
-    held = docs.join(wide.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = held.select("doc_id", tokens(repaired(title), profile).alias("tt"), tokens(repaired(F.col("text")), profile).alias("dt"), flat(title).alias("flat_title"), flat(F.col("text")).alias("flat_text"))
+    # candidates are as many as the rankings are deep, so their ids go to the texts
+    held = docs.join(F.broadcast(wide.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = held.select("doc_id", terms(title, profile).alias("tt"), terms(F.col("text"), profile).alias("dt"), flat(title).alias("flat_title"), flat(F.col("text")).alias("flat_text"))
     asked = queries.select("query_id", tokens(repaired(F.col("query")), profile).alias("qt"), flat(F.col("query")).alias("flat_query"))
     both = wide.join(asked, "query_id").join(texts, "doc_id", "left")
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("double")

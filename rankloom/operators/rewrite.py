@@ -101,7 +101,7 @@ def personal_terms(queries: DataFrame, history: DataFrame, profile: Profile, mos
 def feedback_terms(queries: DataFrame, ranking: DataFrame, docs: DataFrame, profile: Profile, feedback_docs: int = 3, most: int = 5) -> DataFrame:
     """(query_id, term, n, rank): terms of the snippets of the best documents, by documents holding them, then term."""
     asked = queries.select("query_id", tokens(F.col("query"), profile).alias("own"))
-    held = ranking.where(F.col("rank") <= feedback_docs).join(docs.select("doc_id", F.substring("text", 1, 250).alias("snippet")), "doc_id")
+    held = docs.select("doc_id", F.substring("text", 1, 250).alias("snippet")).join(F.broadcast(ranking.where(F.col("rank") <= feedback_docs)), "doc_id")
     words = held.select("query_id", "doc_id", F.explode(F.array_distinct(tokens(F.col("snippet"), profile))).alias("term")).join(asked, "query_id")
     counts = words.where((F.length("term") > 2) & ~F.expr("array_contains(own, term)")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
     best = Window.partitionBy("query_id").orderBy(F.desc("n"), "term")

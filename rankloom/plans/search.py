@@ -21,7 +21,7 @@ from rankloom.streaming.history import valid
 
 #: Shards of the distributed model, where the request names none.
 SHARDS = 4
-#: Asked terms up to this number are named in the scan of the postings.
+#: Asked terms up to this number are named in the scan of the ranges of postings, where a service has stored them (``Index.ranges``).
 NAMED = 64
 #: Past queries that personalisation looks at.
 RECENT = 20
@@ -78,7 +78,7 @@ def rewritten(corpus: Corpus, request: SearchRequest, queries: DataFrame) -> tup
         terms = rewrite.personal_terms(now.withColumn("user_id", F.lit(request.user)), own, profile, request.max_personalization_terms)
         now = steps["personalised"] = rewrite.appended(now, terms)
     if request.use_query_refinement:
-        first = rank.bm25(now, corpus.index, profile, request.feedback_docs, request.bm25_k1, request.bm25_b, named=NAMED)
+        first = rank.bm25(now, corpus.index, profile, request.feedback_docs, request.bm25_k1, request.bm25_b, named=NAMED * corpus.index.served)
         now = steps["refined"] = rewrite.appended(now, rewrite.feedback_terms(now, first, corpus.docs, profile, request.feedback_docs, request.expansion_terms))
     return now, steps
 
@@ -86,7 +86,7 @@ def rewritten(corpus: Corpus, request: SearchRequest, queries: DataFrame) -> tup
 def ranked(corpus: Corpus, request: SearchRequest, queries: DataFrame, model: str, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank, ...) of queries (query_id, query) under one of the models."""
     profile, index = profile_of(corpus.dataset), corpus.index
-    named = NAMED
+    named = NAMED * index.served
     if model == "tfidf":
         return rank.tfidf(queries, index, profile, k, pad=True, named=named)
     if model == "bm25":
