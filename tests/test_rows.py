@@ -80,6 +80,12 @@ def test_texts_stay_where_they_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_whole_vocabulary_is_checked(spark, tmp_path):
+    text = " ".join(f"t{i}" for i in range(100_500))
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in queries.tfidf_check(spark, str(tmp_path)).collect()] == [("terms below the least frequency", 100_500)]
+
+
 def test_encoded_numbers_round_as_doubles(spark, tmp_path):
     """7 of 160 is 0.04375; in single precision it is a little less."""
     text = "a" * 7 + "e" * 159 + "b" * 16 + "c" * 3 + "d" * 2 + "f"
